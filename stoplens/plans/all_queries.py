@@ -1,4 +1,4 @@
 """Imports every query module so that the registry is complete."""
 
-from stoplens.plans import queries_log_tables, queries_reliability  # noqa: F401
+from stoplens.plans import queries_flow, queries_log_tables, queries_reliability  # noqa: F401
 from stoplens.plans.registry import ORACLES, QUERIES  # noqa: F401
