@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from stoplens import fixed_values as fv
 from stoplens.functions import calc, text
-from stoplens.operators.skew import lookup_join
+from stoplens.operators.skew import lookup_join, places_within
 
 PENDING, CORRECT, WRONG = "pendente", "correta", "corrigida"
 
@@ -63,22 +63,17 @@ def progress(rows: DataFrame) -> DataFrame:
 
 def high_sample(rows: DataFrame, n: int = 8) -> DataFrame:
     """Every k-th pending high-confidence item by lines, per analysis, n at most."""
-    order = Window.partitionBy("analysis_id").orderBy(F.desc("n_linhas"), "ml_key")
     high = rows.filter((F.col("status") == PENDING) & (F.col("faixa") == "Alta"))
-    size = F.count(F.lit(1)).over(Window.partitionBy("analysis_id"))
-    step = F.greatest(F.lit(1), F.floor(size / n))
-    place = F.row_number().over(order) - 1
-    return high.withColumns({"_place": place, "_step": step}).filter(
-        (F.col("_place") % F.col("_step") == 0) & (F.col("_place") / F.col("_step") < n)).drop("_place", "_step")
+    placed = places_within(high, ["analysis_id"], [F.desc("n_linhas"), F.col("ml_key")])
+    step = F.greatest(F.lit(1), F.floor(F.col("_size") / n))
+    return placed.filter((F.col("_place") % step == 0) & (F.col("_place") / step < n)).drop("_place", "_size")
 
 
 def even_sample(rows: DataFrame, order: list[Column], n: int, partition: list[str]) -> DataFrame:
     """N rows spread evenly over an ordering, per partition key; all rows when there are no more than n."""
-    place = F.row_number().over(Window.partitionBy(*partition).orderBy(*order)) - 1
-    size = F.count(F.lit(1)).over(Window.partitionBy(*partition))
     slots = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.floor(i * F.col("_size") / n))
-    return rows.withColumns({"_place": place, "_size": size}).filter(
-        (F.col("_size") <= n) | F.array_contains(slots, F.col("_place").cast("bigint"))).drop("_place", "_size")
+    return places_within(rows, partition, order).filter(
+        (F.col("_size") <= n) | F.array_contains(slots, F.col("_place"))).drop("_place", "_size")
 
 
 def reviewed_items(rows: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:

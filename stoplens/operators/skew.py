@@ -54,3 +54,15 @@ def running_total(df: DataFrame, order: list[Column], amounts: dict[str, Column]
     for name in amounts:
         out = out.withColumn(name, F.sum(f"_in_{name}").over(local) + F.col(f"_off_{name}"))
     return out.drop("_part", *[f"_in_{n}" for n in amounts], *[f"_off_{n}" for n in amounts])
+
+
+def places_within(df: DataFrame, partition: list[str], order: list[Column], parts: int = 64) -> DataFrame:
+    """0-based ``_place`` and group ``_size`` of every row inside its group, however large a group is.
+
+    The rows are ranked over one global range-partitioned order that starts with the group columns, so a hot group
+    spans many ranges; the first rank of each group is then subtracted.
+    """
+    ranked = running_total(df, [*[F.col(c) for c in partition], *order], {}, parts)
+    bounds = ranked.groupBy(*partition).agg(F.min("_position").alias("_first"), F.count(F.lit(1)).alias("_size"))
+    return lookup_join(ranked, bounds, partition, "inner").withColumn("_place", F.col("_position") - F.col("_first"))\
+        .drop("_position", "_first")
