@@ -6,6 +6,7 @@ order and the lowest group wins. The rules are sequential, the computation is no
 * equal texts collapse first, with partial aggregation, so copies cost nothing;
 * similar pairs come from an exact prefix-filter join (no pair of a context is formed unless it shares a rare term
   and its norm bound allows the threshold); long posting lists are cut into chunks joined chunk by chunk;
+* tables that grew out of ``explode`` are joined with a merge hint, because size estimates do not see the growth;
 * the greedy assignment is the fixed point of a set-based update, repeated until nothing changes. By induction over
   the text order that fixed point is the sequential result, and no context is ever held by one task.
 """
@@ -67,7 +68,7 @@ def text_terms(texts: DataFrame) -> DataFrame:
                .select("bucket", "vid", "texts", F.explode(F.concat("words", pairs)).alias("term"))
                .groupBy("bucket", "vid", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("texts").alias("texts")))
     frequency = counted.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df"))
-    weighed = counted.join(frequency, ["bucket", "term"]).withColumn(
+    weighed = counted.join(frequency.hint("merge"), ["bucket", "term"]).withColumn(
         "raw", F.col("tf") * (F.log((1 + F.col("texts")) / (1 + F.col("df"))) + 1))
     whole = Window.partitionBy("vid")
     onward = whole.orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
@@ -102,7 +103,7 @@ def similar_pairs(texts: DataFrame, terms: DataFrame, threshold: float = fv.MIN_
     if not 0 < threshold <= 1:
         raise ValueError("similarity threshold must be above 0 and at most 1")
     signs = texts.select("vid", negation("text").alias("negated"))
-    prefix = terms.filter((F.col("tail") >= threshold - SLACK) & (F.col("df") > 1)).join(signs, "vid").withColumns({
+    prefix = terms.filter((F.col("tail") >= threshold - SLACK) & (F.col("df") > 1)).join(signs.hint("merge"), "vid").withColumns({
         "chunks": F.ceil(F.col("df") / POSTING_CHUNK).cast("int")}).withColumn(
         "chunk", F.pmod(F.xxhash64("vid"), F.col("chunks")).cast("int"))
     key = ["bucket", "negated", "term", "first", "second"]
@@ -112,10 +113,10 @@ def similar_pairs(texts: DataFrame, terms: DataFrame, threshold: float = fv.MIN_
                           F.col("chunk").alias("second"), F.col("vid").alias("b"), F.col("tail").alias("b_tail"))
     near = (F.col("a_tail") * F.col("b_tail") >= threshold - SLACK) & (F.col("a") != F.col("b")) & (
         (F.col("first") != F.col("second")) | (F.col("a") < F.col("b")))
-    pairs = left.join(right, key).filter(near).select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
+    pairs = left.join(right.hint("merge"), key).filter(near).select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
     vectors = terms.groupBy("vid").agg(F.collect_list(F.struct("term", "w")).alias("vector"))
-    checked = (pairs.join(vectors.select(F.col("vid").alias("lo"), F.col("vector").alias("lo_vector")), "lo")
-               .join(vectors.select(F.col("vid").alias("hi"), F.col("vector").alias("hi_vector")), "hi"))
+    checked = (pairs.join(vectors.select(F.col("vid").alias("lo"), F.col("vector").alias("lo_vector")).hint("merge"), "lo")
+               .join(vectors.select(F.col("vid").alias("hi"), F.col("vector").alias("hi_vector")).hint("merge"), "hi"))
     return checked.withColumn("similarity", dot(F.col("lo_vector"), F.col("hi_vector")))\
         .filter(F.col("similarity") >= threshold - SLACK).select("lo", "hi", "similarity")
 
@@ -143,9 +144,9 @@ def assign_groups(pairs: DataFrame) -> DataFrame:
     current = cut_lineage(edges.select(F.col("lo").alias("vid")).unionByName(edges.select(F.col("hi").alias("vid"))).distinct()
                           .withColumn("g", F.col("vid")))
     while True:
-        linked = edges.join(current.withColumnRenamed("vid", "lo"), "lo").groupBy(F.col("hi").alias("i"), "g").agg(
+        linked = edges.join(current.withColumnRenamed("vid", "lo").hint("merge"), "lo").groupBy(F.col("hi").alias("i"), "g").agg(
             F.count(F.lit(1)).alias("linked"))
-        fitting = linked.join(_members_below(current, linked), ["g", "i"]).filter("linked = below")
+        fitting = linked.join(_members_below(current, linked).hint("merge"), ["g", "i"]).filter("linked = below")
         chosen = fitting.groupBy(F.col("i").alias("vid")).agg(F.min("g").alias("chosen"))
         step = cut_lineage(current.join(chosen, "vid", "left").select(
             "vid", F.coalesce("chosen", "vid").alias("g"), F.col("g").alias("old")))
@@ -158,7 +159,7 @@ def group_similarity(assigned: DataFrame, terms: DataFrame) -> DataFrame:
     """Weighted mean similarity inside groups of several texts: (|sum of n*v|^2 - N) / (N (N - 1))."""
     sizes = assigned.groupBy("g").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("texts")).filter("texts > 1")
     inside = lookup_join(assigned.select("vid", "g", "n"), sizes.select("g", "size"), ["g"], "inner")
-    summed = terms.select("vid", "term", "w").join(inside, "vid").groupBy("g", "size", "term").agg(F.sum(F.col("n") * F.col("w")).alias("s"))
+    summed = terms.select("vid", "term", "w").join(inside.hint("merge"), "vid").groupBy("g", "size", "term").agg(F.sum(F.col("n") * F.col("w")).alias("s"))
     n = F.col("size").cast("double")
     return summed.groupBy("g", "size").agg(F.sum(F.col("s") * F.col("s")).alias("square")).select(
         "g", ((F.col("square") - n) / (n * (n - 1))).alias("average"))
@@ -166,7 +167,9 @@ def group_similarity(assigned: DataFrame, terms: DataFrame) -> DataFrame:
 
 def group_notes(stops: DataFrame, threshold: float = fv.MIN_SIMILARITY) -> dict[str, DataFrame]:
     """Machine columns, cards and card members of the stops."""
-    keyed = with_context(stops)
+    source = with_context(stops)
+    # Normalising notes is the costly part: its result is written once and read by the three uses below.
+    keyed = cut_lineage(source.select("analysis_id", "id", "bucket", "column_id", "text"))
     texts = distinct_texts(keyed)
     terms = cut_lineage(text_terms(texts))
     groups = assign_groups(similar_pairs(texts, terms, threshold))
@@ -179,13 +182,14 @@ def group_notes(stops: DataFrame, threshold: float = fv.MIN_SIMILARITY) -> dict[
         "g", "bucket", "size", "texts", F.md5(F.concat_ws("|", "bucket", "founder")).alias("card_id"),
         F.when(F.col("label").startswith("__empty_"), fv.UNNAMED_CARD).otherwise(text.title_case("label")).alias("name"),
         F.when(F.col("texts") == 1, 1.0).otherwise(F.round("average", 4)).alias("avg_similarity"))
-    place = assigned.select("bucket", "text", "g").join(named.select("g", "card_id"), "g").drop("g")
-    members = lookup_join(keyed.select("analysis_id", "id", "bucket", "text"), place, ["bucket", "text"], "inner")
+    digest = F.sha2("text", 256).alias("digest")
+    place = assigned.select("bucket", digest, "g").join(named.select("g", "card_id"), "g").drop("g")
+    members = lookup_join(keyed.select("analysis_id", "id", "bucket", digest), place, ["bucket", "digest"], "inner")
     contexts = keyed.groupBy("bucket").agg(F.min("analysis_id").alias("analysis_id"), F.min("column_id").alias("column_id"))
     cards = lookup_join(named.drop("g"), contexts, ["bucket"], "inner").select(
         "analysis_id", "card_id", "column_id", "name", "size", "texts", "avg_similarity",
         F.lit(False).alias("validated"), F.lit(False).alias("held"))
-    return {"machines": machine_columns(keyed), "cards": cards,
+    return {"machines": machine_columns(source), "cards": cards,
             "card_members": members.select("analysis_id", "card_id", F.col("id").alias("record_id"))}
 
 

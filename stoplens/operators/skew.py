@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from stoplens.session import cut_lineage
 
-BROADCAST_LIMIT_BYTES = 64 << 20
-SALTS = 32
+BROADCAST_LIMIT_BYTES = 8 << 20
+SALTS = 8
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -18,8 +18,9 @@ def lookup_join(rows: DataFrame, dimension: DataFrame, keys: list[str], how: str
                 salts: int = SALTS) -> DataFrame:
     """Join rows to a dimension with unique keys.
 
-    A dimension estimated below the broadcast limit is broadcast. A larger one is replicated over ``salts`` and
-    the rows of each key spread over them, so a key holding a third of all rows is split over many tasks.
+    A dimension estimated below 8 MB is broadcast. A larger one is replicated over ``salts`` and the rows of each
+    key spread over them; adaptive skew-join splitting divides what is still too large, so a key holding a third of
+    all rows never stays in one task.
     """
     if estimated_bytes(dimension) <= BROADCAST_LIMIT_BYTES:
         return rows.join(F.broadcast(dimension), keys, how)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 def get_session(app: str = "stoplens", cores: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if cores:
-        builder = builder.master(f"local[{cores}]")
+        builder = builder.master(f"local[{cores}]").config("spark.driver.memory", "12g")
     settings = {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
