@@ -1,6 +1,6 @@
 """Text models on Spark ML (L7-L15, L18-L20): hashed n-gram features, training, scoring, evaluation, nearest detail.
 
-Nothing whole passes the driver: features are hashed (2^18 slots, so the idf table has a fixed bound), the solvers
+Nothing whole passes the driver: features are hashed (2^17 slots, so the idf table has a fixed bound), the solvers
 aggregate gradients on the executors, and only class names and coefficients come back.
 """
 
@@ -17,14 +17,17 @@ from stoplens.operators.grouping import dot
 from stoplens.operators.skew import lookup_join, running_total
 from stoplens.session import cut_lineage
 
-BLOCK = 1 << 17
+BLOCK = 1 << 16
 POOL_CHUNK = 2000
 
 
-def _word_grams(value: Column, shortest: int) -> Column:
-    words = F.filter(F.regexp_extract_all(F.lower(value), F.lit(r"(?U)\w+"), 0), lambda w: F.length(w) >= shortest)
-    pairs = F.transform(words, lambda w, i: F.concat(w, F.lit(" "), F.get(words, i + 1)))
-    return F.concat(words, F.filter(pairs, lambda p: p.isNotNull()))
+def _words(value: Column, shortest: int) -> Column:
+    return F.filter(F.regexp_extract_all(F.lower(value), F.lit(r"(?U)\w+"), 0), lambda w: F.length(w) >= shortest)
+
+
+def _pairs(words: Column) -> Column:
+    """Neighbouring words of a word column (a column, not an expression: it is looked up once per word)."""
+    return F.transform(F.slice(words, 1, F.greatest(F.lit(0), F.size(words) - 1)), lambda w, i: F.concat(w, F.lit(" "), F.get(words, i + 1)))
 
 
 def _char_grams(value: Column) -> Column:
@@ -39,33 +42,41 @@ def _char_grams(value: Column) -> Column:
     return F.flatten(F.transform(words, pieces))
 
 
-def feature_counts(rows: DataFrame, key: str = "text", shortest: int = 1) -> DataFrame:
-    """Sublinear counts (key, slot, tf) of word 1-2-grams and character pieces; MAQ_ words make no pieces."""
-    slot = lambda offset: lambda g: (F.pmod(F.xxhash64(g), F.lit(BLOCK)) + offset).cast("int")
-    grams = F.concat(F.transform(_word_grams(F.col(key), shortest), slot(0)),
-                     F.transform(_char_grams(text.text_only(key)), slot(BLOCK)))
-    exploded = rows.select(key).distinct().select(key, F.explode(grams).alias("slot"))
-    return exploded.groupBy(key, "slot").agg((F.log(F.count(F.lit(1)).cast("double")) + 1).alias("tf"))
+def digest(value: Column | str = "text") -> Column:
+    """Key of a text inside the feature tables, so that whole texts are not repeated per feature."""
+    return F.md5(F.col(value) if isinstance(value, str) else value)
 
 
-def fit_idf(counts: DataFrame, key: str = "text") -> DataFrame:
-    """idf = ln((1 + n) / (1 + df)) + 1 per slot: at most 2^18 rows, written once."""
-    total = counts.agg(F.countDistinct(key).alias("n"))
+def feature_counts(rows: DataFrame, shortest: int = 1) -> DataFrame:
+    """Sublinear counts (digest, slot, tf) of word 1-2-grams and character pieces; MAQ_ words make no pieces."""
+    slot = lambda offset: lambda g: (F.pmod(F.xxhash64(g), F.lit(BLOCK)) + offset).cast("int")
+    worded = rows.select("text", digest().alias("digest")).dropDuplicates(["digest"]).select(
+        "text", "digest", _words(F.col("text"), shortest).alias("_words"))
+    grams = F.concat(F.transform(F.concat("_words", _pairs(F.col("_words"))), slot(0)),
+                     F.transform(_char_grams(text.text_only("text")), slot(BLOCK)))
+    slotted = worded.select("digest", grams.alias("_slots"))
+    exploded = slotted.select("digest", F.explode("_slots").alias("slot"))
+    return exploded.groupBy("digest", "slot").agg((F.log(F.count(F.lit(1)).cast("double")) + 1).alias("tf"))
+
+
+def fit_idf(counts: DataFrame) -> DataFrame:
+    """idf = ln((1 + n) / (1 + df)) + 1 per slot: at most 2^17 rows, written once."""
+    total = counts.agg(F.countDistinct("digest").alias("n"))
     df = counts.groupBy("slot").agg(F.count(F.lit(1)).alias("df"))
     return cut_lineage(df.join(F.broadcast(total)).select("slot", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")))
 
 
-def weights(counts: DataFrame, idf: DataFrame, key: str = "text") -> DataFrame:
+def weights(counts: DataFrame, idf: DataFrame) -> DataFrame:
     """tf * idf, each block of a text scaled to length one; slots unseen in training are dropped."""
     raw = counts.join(F.broadcast(idf), "slot").withColumn("raw", F.col("tf") * F.col("idf"))
-    block = Window.partitionBy(key, F.col("slot") >= BLOCK)
-    return raw.select(key, "slot", (F.col("raw") / F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(block))).alias("w"))
+    block = Window.partitionBy("digest", F.col("slot") >= BLOCK)
+    return raw.select("digest", "slot", (F.col("raw") / F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(block))).alias("w"))
 
 
-def vectors(weighed: DataFrame, key: str = "text") -> DataFrame:
+def vectors(weighed: DataFrame) -> DataFrame:
     size = 2 * BLOCK
     build = F.udf(lambda entries: Vectors.sparse(size, [(e[0], e[1]) for e in entries]), VectorUDT())
-    return weighed.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("slot", "w"))).alias("e")).select(key, build("e").alias("features"))
+    return weighed.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("slot", "w"))).alias("e")).select("digest", build("e").alias("features"))
 
 
 class TextModel:
@@ -75,24 +86,25 @@ class TextModel:
         self.idf, self.model, self.labels, self.shortest, self.examples = idf, model, labels, shortest, examples
 
     def features(self, texts: DataFrame) -> DataFrame:
-        return vectors(weights(feature_counts(texts, "text", self.shortest), self.idf))
+        return vectors(weights(feature_counts(texts, self.shortest), self.idf))
 
     def score(self, texts: DataFrame, temperature: float | None = None) -> DataFrame:
-        """(text, probabilities): the model's own, or the softmax of margins / temperature."""
+        """(digest, probabilities): the model's own, or the softmax of margins / temperature."""
         scored = self.model.transform(self.features(texts))
         if temperature is None:
-            return scored.select("text", vector_to_array("probability").alias("p"))
+            return scored.select("digest", vector_to_array("probability").alias("p"))
         raw = vector_to_array("rawPrediction") if "rawPrediction" in scored.columns else vector_to_array(self.model.getRawPredictionCol())
-        return scored.select("text", softmax(raw, temperature).alias("p"))
+        return scored.select("digest", softmax(raw, temperature).alias("p"))
 
     def predict(self, texts: DataFrame, temperature: float | None = None) -> DataFrame:
         """Class, confidence, band and the three likeliest classes of every distinct text."""
         names = F.array(*[F.lit(n) for n in self.labels])
         scored = self.score(texts, temperature)
         ranked = F.slice(F.reverse(F.array_sort(F.transform("p", lambda p, i: F.struct(p.alias("p"), (-i).alias("i"))))), 1, 3)
-        top = scored.select("text", F.transform(ranked, lambda e: F.struct(F.get(names, -e["i"]).alias("classe"), e["p"].alias("confianca"))).alias("top3"))
+        top = scored.select("digest", F.transform(ranked, lambda e: F.struct(F.get(names, -e["i"]).alias("classe"), e["p"].alias("confianca"))).alias("top3"))
         best = F.element_at("top3", 1)
-        return top.select("text", best["classe"].alias("classe"), best["confianca"].alias("confianca"), calc.band(best["confianca"]).alias("faixa"), "top3")
+        named = texts.select("text", digest().alias("digest")).dropDuplicates(["digest"])
+        return named.join(top, "digest").select("text", best["classe"].alias("classe"), best["confianca"].alias("confianca"), calc.band(best["confianca"]).alias("faixa"), "top3")
 
 
 def softmax(scores: Column, temperature: float = fv.SOFTMAX_TEMPERATURE) -> Column:
@@ -104,10 +116,10 @@ def softmax(scores: Column, temperature: float = fv.SOFTMAX_TEMPERATURE) -> Colu
 
 def _fit(examples: DataFrame, solver, shortest: int, count: int) -> TextModel:
     """examples(text, label, weight); repeated texts share one vector."""
-    counts = feature_counts(examples, "text", shortest)
+    counts = cut_lineage(feature_counts(examples, shortest))
     idf = fit_idf(counts)
     indexer = StringIndexer(inputCol="label", outputCol="index", stringOrderType="alphabetAsc").fit(examples)
-    data = cut_lineage(indexer.transform(examples).join(vectors(weights(counts, idf)), "text").select("features", "index", "weight"))
+    data = cut_lineage(indexer.transform(examples.withColumn("digest", digest())).join(vectors(weights(counts, idf)), "digest").select("features", "index", "weight"))
     return TextModel(idf, solver.fit(data), list(indexer.labels), shortest, count)
 
 
@@ -124,7 +136,7 @@ def train_board_model(examples: DataFrame) -> TextModel | None:
         size = rows.count()
     if size < fv.MIN_EXAMPLES or rows.select("label").distinct().limit(2).count() < 2:
         return None
-    solver = LogisticRegression(featuresCol="features", labelCol="index", weightCol="weight", family="multinomial", regParam=1e-4, maxIter=60)
+    solver = LogisticRegression(featuresCol="features", labelCol="index", weightCol="weight", family="multinomial", regParam=1e-4, maxIter=40)
     return _fit(rows, solver, 1, size)
 
 
@@ -132,7 +144,7 @@ def train_sheet_model(examples: DataFrame, c: float = 1.0) -> TextModel:
     """One-vs-rest linear SVM over words of 2+ letters; ``c`` is the inverse regularisation."""
     rows = examples.select("text", F.col("cls").alias("label"), F.col("weight").cast("double").alias("weight"))
     size = rows.count()
-    svm = LinearSVC(featuresCol="features", labelCol="index", weightCol="weight", regParam=1.0 / (c * size), maxIter=50)
+    svm = LinearSVC(featuresCol="features", labelCol="index", weightCol="weight", regParam=1.0 / (c * size), maxIter=20)
     solver = OneVsRest(classifier=svm, featuresCol="features", labelCol="index", weightCol="weight", rawPredictionCol="rawPrediction")
     return _fit(rows, solver, 2, size)
 
@@ -201,33 +213,35 @@ def nearest_details(model: TextModel, texts: DataFrame, pool: DataFrame) -> Data
     A first look at one example per rare slot gives each text a score it can reach. Only slots from which that score
     can still be beaten are then joined (prefix filter), and long posting lists are spread over chunks.
     """
-    weigh = lambda rows, key: weights(feature_counts(rows.select(F.col(key).alias("text")), "text", model.shortest), model.idf)
-    examples = pool.filter("detail <> '' AND cls IS NOT NULL").groupBy("text", "cls").agg(F.min("detail").alias("detail"))
-    p = cut_lineage(weigh(examples, "text").join(examples, "text").select(F.col("text").alias("example"), "cls", "detail", "slot", "w"))
-    q = cut_lineage(weigh(texts, "text").join(texts.select("text", "cls").distinct(), "text"))
+    weigh = lambda rows: weights(feature_counts(rows, model.shortest), model.idf)
+    wanted = texts.select("text", "cls", digest().alias("digest")).dropDuplicates(["digest", "cls"])
+    named = pool.filter("detail <> '' AND cls IS NOT NULL")
+    examples = named.groupBy(digest().alias("digest"), "cls").agg(F.min("detail").alias("detail"))
+    p = cut_lineage(weigh(named).join(examples, "digest").select(F.col("digest").alias("example"), "cls", "detail", "slot", "w"))
+    q = cut_lineage(weigh(wanted).join(wanted.select("digest", "cls"), "digest"))
     postings = p.groupBy("cls", "slot").agg(F.count(F.lit(1)).alias("df"), F.min("example").alias("seed"))
     ranked = q.join(postings.hint("merge"), ["cls", "slot"])
-    onward = Window.partitionBy("cls", "text").orderBy(F.desc("df"), F.desc("slot")).rowsBetween(Window.unboundedPreceding, 0)
-    first = Window.partitionBy("cls", "text").orderBy("df", "slot")
+    onward = Window.partitionBy("cls", "digest").orderBy(F.desc("df"), F.desc("slot")).rowsBetween(Window.unboundedPreceding, 0)
+    first = Window.partitionBy("cls", "digest").orderBy("df", "slot")
     ranked = cut_lineage(ranked.withColumns({"tail": F.sqrt(F.sum(F.col("w") * F.col("w")).over(onward)), "r": F.row_number().over(first)}))
     entries = lambda rows, keys: rows.groupBy(*keys).agg(F.collect_list(F.struct(F.col("slot").cast("string").alias("term"), "w")).alias("v"))
-    q_vec = cut_lineage(entries(q, ["text", "cls"]).withColumnRenamed("v", "qv"))
+    q_vec = cut_lineage(entries(q, ["digest", "cls"]).withColumnRenamed("v", "qv"))
     p_vec = cut_lineage(entries(p, ["example", "cls", "detail"]).withColumnRenamed("v", "pv"))
 
     def scored(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(q_vec.hint("merge"), ["text", "cls"]).join(p_vec.hint("merge"), ["example", "cls"])
-        return both.select("text", "cls", "example", "detail", dot(F.col("qv"), F.col("pv")).alias("s"))
+        both = pairs.join(q_vec.hint("merge"), ["digest", "cls"]).join(p_vec.hint("merge"), ["example", "cls"])
+        return both.select("digest", "cls", "example", "detail", dot(F.col("qv"), F.col("pv")).alias("s"))
 
-    seeds = scored(ranked.filter("r <= 3").select("text", "cls", F.col("seed").alias("example")).distinct())
-    reach = seeds.groupBy("text", "cls").agg(F.max("s").alias("reach"))
-    open_ = ranked.join(reach, ["text", "cls"]).filter(F.col("tail") * 1.4142135623731 >= F.col("reach") - 1e-9)
+    seeds = scored(ranked.filter("r <= 3").select("digest", "cls", F.col("seed").alias("example")).distinct())
+    reach = seeds.groupBy("digest", "cls").agg(F.max("s").alias("reach"))
+    open_ = ranked.join(reach, ["digest", "cls"]).filter(F.col("tail") * 1.4142135623731 >= F.col("reach") - 1e-9)
     chunks = F.ceil(F.col("df") / POOL_CHUNK).cast("int")
-    asked = open_.select("cls", "slot", "text", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
+    asked = open_.select("cls", "slot", "digest", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
     listed = p.join(postings.select("cls", "slot", "df").hint("merge"), ["cls", "slot"]).select(
         "cls", "slot", "example", F.pmod(F.xxhash64("example"), chunks).cast("int").alias("chunk"))
-    pairs = asked.join(listed.hint("merge"), ["cls", "slot", "chunk"]).select("text", "cls", "example").distinct()
-    best = scored(pairs).groupBy("text", "cls").agg(F.min_by("detail", F.struct(F.round(-F.col("s"), 12), F.col("example"))).alias("detail"))
-    return texts.select("text", "cls").distinct().join(best, ["text", "cls"], "left").withColumn("detail", F.coalesce("detail", F.lit("")))
+    pairs = asked.join(listed.hint("merge"), ["cls", "slot", "chunk"]).select("digest", "cls", "example").distinct()
+    best = scored(pairs).groupBy("digest", "cls").agg(F.min_by("detail", F.struct(F.round(-F.col("s"), 12), F.col("example"))).alias("detail"))
+    return wanted.join(best, ["digest", "cls"], "left").select("text", "cls", F.coalesce("detail", F.lit("")).alias("detail"))
 
 
 def detail_options(pool: DataFrame, limit: int = 40) -> DataFrame:
