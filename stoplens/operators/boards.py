@@ -99,7 +99,7 @@ def consolidated_rows(stops: DataFrame, joined: list[str] | None = None) -> Data
     values = stops.select(*key, "id", F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.trim(F.coalesce(F.col(f).cast("string"), F.lit(""))).alias("v"))
                                                           for f in fields])).alias("p")).select(*key, "id", "p.f", "p.v")
     seen = values.filter("v <> ''").groupBy(*key, "f", "v").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
-    texts = lambda f, by: F.transform(F.array_sort(F.collect_list(F.when(F.col("f") == f, F.struct(by, "v")))), lambda e: e["v"])
+    texts = lambda f, by: F.transform(F.array_sort(F.collect_list(F.when(F.col("f") == f, F.struct(F.col(by).alias("k"), F.col("v").alias("x"))))), lambda e: e["x"])
     top = lambda f: F.max_by("v", F.when(F.col("f") == f, F.struct("n", -F.col("first"))))
     listed = seen.groupBy(*key).agg(
         *[_joined(texts(f, "first")).alias(f) for f in joined if f not in ("intervalo", "turno")], _joined(texts("intervalo", "first")).alias("_intervals"),
