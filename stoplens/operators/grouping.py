@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from stoplens import fixed_values as fv
 from stoplens.functions import text
 from stoplens.operators.skew import lookup_join
-from stoplens.session import cut_lineage
+from stoplens.session import cut_lineage, shuffle_partitions
 
 POSTING_CHUNK = 2000
 RANK_CHUNK_BITS = 16
@@ -49,7 +49,7 @@ def distinct_texts(keyed: DataFrame) -> DataFrame:
     ``vid`` grows along a range-partitioned sort, so comparing two vids compares their texts.
     """
     grouped = keyed.groupBy("bucket", "text").agg(F.count(F.lit(1)).alias("n"))
-    ranged = grouped.repartitionByRange("bucket", "text").sortWithinPartitions("bucket", "text")
+    ranged = grouped.repartitionByRange(shuffle_partitions(keyed), "bucket", "text").sortWithinPartitions("bucket", "text")
     return cut_lineage(ranged.withColumn("vid", F.monotonically_increasing_id()))
 
 

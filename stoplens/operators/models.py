@@ -15,7 +15,7 @@ from stoplens import fixed_values as fv
 from stoplens.functions import calc, text
 from stoplens.operators.grouping import dot
 from stoplens.operators.skew import lookup_join, running_total
-from stoplens.session import cut_lineage
+from stoplens.session import cut_lineage, shuffle_partitions
 
 BLOCK = 1 << 16
 POOL_CHUNK = 2000
@@ -50,8 +50,8 @@ def digest(value: Column | str = "text") -> Column:
 def feature_counts(rows: DataFrame, shortest: int = 1) -> DataFrame:
     """Sublinear counts (digest, slot, tf) of word 1-2-grams and character pieces; MAQ_ words make no pieces."""
     slot = lambda offset: lambda g: (F.pmod(F.xxhash64(g), F.lit(BLOCK)) + offset).cast("int")
-    worded = rows.select("text", digest().alias("digest")).dropDuplicates(["digest"]).select(
-        "text", "digest", _words(F.col("text"), shortest).alias("_words"))
+    worded = rows.select("text", digest().alias("digest")).dropDuplicates(["digest"])\
+        .repartition(shuffle_partitions(rows), "digest").select("text", "digest", _words(F.col("text"), shortest).alias("_words"))
     grams = F.concat(F.transform(F.concat("_words", _pairs(F.col("_words"))), slot(0)),
                      F.transform(_char_grams(text.text_only("text")), slot(BLOCK)))
     slotted = worded.select("digest", grams.alias("_slots"))
@@ -145,7 +145,7 @@ def train_sheet_model(examples: DataFrame, c: float = 1.0) -> TextModel:
     rows = examples.select("text", F.col("cls").alias("label"), F.col("weight").cast("double").alias("weight"))
     size = rows.count()
     svm = LinearSVC(featuresCol="features", labelCol="index", weightCol="weight", regParam=1.0 / (c * size), maxIter=20)
-    solver = OneVsRest(classifier=svm, featuresCol="features", labelCol="index", weightCol="weight", rawPredictionCol="rawPrediction")
+    solver = OneVsRest(classifier=svm, featuresCol="features", labelCol="index", weightCol="weight", rawPredictionCol="rawPrediction", parallelism=4)
     return _fit(rows, solver, 2, size)
 
 

@@ -41,3 +41,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="stoplens-checkpoint-", dir=os.environ.get("TMPDIR"))
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def shuffle_partitions(df: DataFrame) -> int:
+    """The session's shuffle width, for steps whose work per byte is too high for coalesced partitions."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
