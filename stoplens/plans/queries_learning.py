@@ -135,21 +135,16 @@ def l19_accuracy_history(spark, folder):
     return ml.accuracy_history(points)
 
 
-def quality_examples(spark, folder):
-    """Documents with a reviewed quality, as training examples over whole texts."""
-    docs, labels = fx.table(spark, folder, "documents"), fx.table(spark, folder, "labels")
-    return docs.join(labels, "doc_id").select(text.model_text("text").alias("text"), F.concat(F.lit("QUALIDADE "), F.col("quality").cast("string")).alias("cls"),
-                                              F.lit(1.0).alias("weight"), F.col("source").alias("detail")).filter("text <> ''").dropDuplicates(["text"])
-
-
-@query("l15_document_quality_predictions")
-def l15_document_quality_predictions(spark, folder):
-    """Linear SVM on 80 % of the reviewed documents, predictions with bands for the others."""
-    parts = ml.cut_lineage(ml.split_examples(quality_examples(spark, folder), 42))
+@query("l15_note_predictions")
+def l15_note_predictions(spark, folder):
+    """Linear SVM on 80 % of the classified notes, classes with bands for the others."""
+    notes = noted(fx.reviewed(spark, folder)).select(text.model_text(O).alias("text"), F.col("failure_class").alias("cls"), F.col("id"))
+    examples = notes.filter("text <> ''").groupBy("text").agg(F.min_by("cls", "id").alias("cls"), F.count(F.lit(1)).cast("double").alias("weight"))
+    parts = ml.cut_lineage(ml.split_examples(examples, 42))
     model = ml.train_sheet_model(parts.filter("in_train"))
-    held = parts.filter("NOT in_train")
-    predicted = model.predict(held.select("text"), 0.15)
-    return held.select("text", "cls").join(predicted, "text").select(F.md5("text").alias("text"), "cls", "classe", F.round("confianca", 6).alias("confianca"), "faixa")
+    held = parts.filter("NOT in_train").select("text", "cls")
+    predicted = model.predict(held, 0.15).select("text", "classe", F.round("confianca", 6).alias("confianca"), "faixa")
+    return held.join(predicted, "text")
 
 
 @query("l08_board_model_predictions")
@@ -176,8 +171,9 @@ def l06_board_examples(spark, folder):
 
 @query("l14_nearest_details")
 def l14_nearest_details(spark, folder):
-    """L14 over the reviewed documents: the source of the most similar training document of the same class."""
-    parts = ml.cut_lineage(ml.split_examples(quality_examples(spark, folder), 42))
-    model = ml.train_sheet_model(parts.filter("in_train"))
-    found = ml.nearest_details(model, parts.filter("NOT in_train").select("text", "cls"), parts.filter("in_train"))
-    return found.select(F.md5("text").alias("text"), "cls", "detail")
+    """For every held-out note, the detail of the most similar training note of its class (exact; see the tests)."""
+    notes = flow_items(spark, folder).select(F.col("ml_key").alias("text"), F.col("classe").alias("cls"), F.col("detalhe").alias("detail")).distinct()
+    parts = ml.cut_lineage(ml.split_examples(notes, 42))
+    train, held = parts.filter("in_train"), parts.filter("NOT in_train")
+    model = ml.TextModel(ml.fit_idf(ml.feature_counts(train, 2)), None, [], 2, 0)
+    return ml.nearest_details(model, held.select("text", "cls"), train)
