@@ -2,8 +2,9 @@
 
 The symbols of a text are merged by an agenda of adjacent pairs: the pair whose piece has the best score goes first,
 the leftmost of equal ones, and each merge puts its two new neighbour pairs on the agenda. Pieces hold the space mark
-only at their start, so a text falls apart before each run of marks; within such a segment no merge can cross two
-characters that stand together in no piece. The parts are merged once per Python worker while they are remembered.
+only at their start and no line end, so a text falls apart before each run of space marks and around line ends; nor
+can a merge join two characters that stand together in no piece, as most words and the closing marks after them. The
+segments are merged once per Python worker while they are remembered.
 Each Arrow batch checks the segments new to the worker against the sentencepiece library and fails on a difference.
 
 Null texts count as empty: no ids, empty decoded text. Equal rows get equal results; empty tables give empty tables;
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 from stoplens.llm.common import in_tasks
 
 MARK = "▁"
-REMEMBERED = 400_000  # segments a worker holds before it starts afresh; bounds memory, not results
+REMEMBERED = 1_000_000  # segments a worker holds before it starts afresh; bounds memory, not results
+CLOSING = ".,;:!?"
 LONGEST = 48  # longer segments are not remembered
 ROWS = 128
 
@@ -44,10 +46,10 @@ class PieceModel:
             raise ValueError("only vocabularies with byte fallback are supported")
         self.plain = sp.normalize(" a  ﬁ ") == f"{MARK}{MARK}a{MARK}{MARK}ﬁ{MARK}"
         whole = any(MARK in piece.lstrip(MARK) for piece in self.ids)
-        self.segments = re.compile("(?s).+" if whole else f"(?s){MARK}+[^{MARK}]*|[^{MARK}]+").findall
+        whole |= any("\n" in piece for piece in self.ids)
+        self.segments = re.compile("(?s).+" if whole else f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n").findall
         self.together = {piece[i:i + 2] for piece in self.ids for i in range(len(piece) - 1)}
         self.known: dict[str, tuple] = {}
-        self.parts: dict[str, tuple] = {}
 
     def merge(self, part: str) -> list[str]:
         """Pieces of ``part`` by the agenda."""
@@ -71,26 +73,20 @@ class PieceModel:
         return [s for s in symbol if s is not None]
 
     def part_ids(self, part: str) -> tuple:
-        out: list[int] = []
-        for piece in self.merge(part):
-            if piece in self.ids:
-                out.append(self.ids[piece])
-            else:
-                out.extend(self.byte_ids[b] for b in piece.encode())
-        return tuple(out)
+        pieces, ids = self.merge(part), self.ids
+        if ids.keys() >= set(pieces):
+            return tuple([ids[p] for p in pieces])
+        return tuple(chain.from_iterable((ids[p],) if p in ids else [self.byte_ids[b] for b in p.encode()] for p in pieces))
 
     def segment_ids(self, segment: str) -> tuple:
-        together, parts, out, start = self.together, self.parts, [], 0
-        for i in range(1, len(segment) + 1):
-            if i == len(segment) or segment[i - 1:i + 1] not in together:
-                part, start = segment[start:i], i
-                ids = parts.get(part)
-                if ids is None:
-                    ids = self.part_ids(part)
-                    if len(part) <= LONGEST:
-                        parts[part] = ids
-                out.append(ids)
-        return out[0] if len(out) == 1 else tuple(chain.from_iterable(out))
+        core = segment.rstrip(CLOSING)
+        if not core or core == segment or segment[len(core) - 1:len(core) + 1] in self.together:
+            return self.part_ids(segment)
+        marks = segment[len(core):]
+        for part in (core, marks):
+            if part not in self.known:
+                self.known[part] = self.part_ids(part)
+        return self.known[core] + self.known[marks]
 
     def normalized(self, text: str) -> str:
         if self.plain:
@@ -98,16 +94,18 @@ class PieceModel:
         return self.library.normalize(text)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        if len(self.known) > REMEMBERED or len(self.parts) > REMEMBERED:
-            self.known, self.parts = {}, {}
+        if len(self.known) > REMEMBERED:
+            self.known = {}
         known, cut = self.known, [self.segments(self.normalized(t)) for t in texts]
-        fresh = list(set().union(*cut).difference(known))
+        fresh = list(set().union(*cut) - known.keys())
         found = dict(zip(fresh, map(self.segment_ids, fresh), strict=True))
         self.check(found)
-        long = {s: found[s] for s in fresh if len(s) > LONGEST}
-        known.update((s, ids) for s, ids in found.items() if s not in long)
-        get = (lambda s: known[s] if s in known else long[s]) if long else known.__getitem__
-        return [list(chain.from_iterable(map(get, segments))) for segments in cut]
+        known.update(found)
+        out = [list(chain.from_iterable([known[s] for s in segments])) for segments in cut]
+        for s in fresh:
+            if len(s) > LONGEST:
+                del known[s]
+        return out
 
     def check(self, found: dict[str, tuple]) -> None:
         """Compare with the library; it puts the first mark before a text itself."""
