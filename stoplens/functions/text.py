@@ -78,7 +78,7 @@ def note_tokens(value: Column | str) -> Column:
 
 def synonym_pairs() -> list[tuple[str, str]]:
     """(variation, canonical) longest variation first, listing order kept among equals."""
-    pairs = [(v.strip(), canon) for canon, group in fv.SYNONYMS.items() for v in group.split(",")]
+    pairs = [(v, canon) for canon, group in fv.SYNONYMS.items() for v in group]
     return sorted(pairs, key=lambda pair: -len(pair[0]))
 
 

@@ -24,29 +24,22 @@ def plain_term(term: str) -> str:
 
 def _words(value) -> list[str]:
     parts = value.split(",") if isinstance(value, str) else value or []
-    cleaned = [str(p).strip().upper()[:80] for p in parts]
-    return [p for p in cleaned if p][:MAX_TERMS]
-
-
-def parse_catalog_text(lines: str) -> list[dict]:
-    """Catalog rows from 'kind | label | terms [| with: ...] [| machine: ...]' lines."""
-    rows = []
-    for line in lines.strip().splitlines():
-        kind, label, terms, *extra = [part.strip() for part in line.split("|")]
-        rest = dict(part.split(":", 1) for part in extra)
-        rows.append({"kind": kind, "label": label, "terms": terms, "with": rest.get("with", ""),
-                     "machine": rest.get("machine", "")})
-    return rows
+    cleaned = [p for p in (str(part).strip().upper() for part in parts) if p]
+    if len(cleaned) > MAX_TERMS:
+        raise ValueError(f"a class takes at most {MAX_TERMS} terms per role")
+    return cleaned
 
 
 class Catalog:
-    """A cleaned catalog: at most 400 classes of at most 60 terms per role, so it always fits in a literal."""
+    """A cleaned catalog. More than 400 classes or 60 terms per role are an error, so it always fits in a literal."""
 
     def __init__(self, classes: list[dict] | None = None, manifestations: dict | None = None):
-        rows = parse_catalog_text(fv.DEFAULT_CATALOG_TEXT) if classes is None else classes
+        rows = fv.DEFAULT_CATALOG if classes is None else classes
+        if len(rows) > MAX_CLASSES:
+            raise ValueError(f"a catalog takes at most {MAX_CLASSES} classes")
         self.classes = []
-        for row in rows[:MAX_CLASSES]:
-            label = str(row.get("label") or "").strip().upper()[:120]
+        for row in rows:
+            label = str(row.get("label") or "").strip().upper()
             terms = _words(row.get("terms"))
             if not label or not any(plain_term(t) for t in terms):
                 continue
@@ -56,7 +49,7 @@ class Catalog:
         if not self.classes:
             raise ValueError("a catalog needs at least one class with terms")
         given = fv.DEFAULT_MANIFESTATIONS if manifestations is None else manifestations
-        self.manifestations = {str(k).strip().upper()[:40]: [t[:40] for t in _words(v)[:30]] for k, v in given.items()}
+        self.manifestations = {str(k).strip().upper(): _words(v) for k, v in given.items()}
 
     @classmethod
     def from_json(cls, payload: str) -> "Catalog":

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stoplens.session import cut_lineage
+from stoplens.session import cut_lineage, shuffle_partitions
 
 BROADCAST_LIMIT_BYTES = 8 << 20
 SALTS = 8
@@ -30,13 +30,16 @@ def lookup_join(rows: DataFrame, dimension: DataFrame, keys: list[str], how: str
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
-def ordered_parts(df: DataFrame, order: list[Column], parts: int = 64) -> DataFrame:
-    """Range-partition by ``order`` and freeze the result, tagged with the ordinal ``_part`` of its range."""
-    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+def ordered_parts(df: DataFrame, order: list[Column], parts: int | None = None) -> DataFrame:
+    """Range-partition by ``order`` and freeze the result, tagged with the ordinal ``_part`` of its range.
+
+    The number of ranges is the session's shuffle width unless given.
+    """
+    ranged = df.repartitionByRange(parts or shuffle_partitions(df), *order).sortWithinPartitions(*order)
     return cut_lineage(ranged.withColumn("_part", F.spark_partition_id()))
 
 
-def running_total(df: DataFrame, order: list[Column], amounts: dict[str, Column], parts: int = 64) -> DataFrame:
+def running_total(df: DataFrame, order: list[Column], amounts: dict[str, Column], parts: int | None = None) -> DataFrame:
     """Exact running sums over a total order without a single-task window.
 
     Each range keeps a local running sum; the totals of the earlier ranges (at most ``parts`` rows) are added.
@@ -57,7 +60,7 @@ def running_total(df: DataFrame, order: list[Column], amounts: dict[str, Column]
     return out.drop("_part", *[f"_in_{n}" for n in amounts], *[f"_off_{n}" for n in amounts])
 
 
-def places_within(df: DataFrame, partition: list[str], order: list[Column], parts: int = 64) -> DataFrame:
+def places_within(df: DataFrame, partition: list[str], order: list[Column], parts: int | None = None) -> DataFrame:
     """0-based ``_place`` and group ``_size`` of every row inside its group, however large a group is.
 
     The rows are ranked over one global range-partitioned order that starts with the group columns, so a hot group

@@ -42,8 +42,9 @@ def delimiter(head: Column) -> Column:
 
 
 def split_cells(line: Column, separator: Column) -> Column:
-    """Cells of one delimited line; quoted cells may hold the separator and doubled quotes."""
-    pattern = F.concat(separator, F.lit('("(?:[^"]|"")*"|[^'), separator, F.lit(']*)'))
+    """Cells of one delimited line; quoted cells may hold the separator and doubled quotes, and be of any length
+    (possessive repeats take no stack)."""
+    pattern = F.concat(separator, F.lit('("[^"]*+(?:""[^"]*+)*+"|[^'), separator, F.lit(']*)'))
     cells = F.regexp_extract_all(F.concat(separator, line), pattern, F.lit(1))
     return F.transform(cells, lambda c: F.when(c.startswith('"'), F.replace(
         F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
@@ -106,16 +107,17 @@ def validated(rows: DataFrame) -> DataFrame:
     """A3: typed rows with ``reject_reason`` (null = good), defaults filled and the note normalised."""
     day = calc.multi_date("data_inicio")
     minutes = calc.pt_number("minutos_parada")
+    amount = minutes.try_cast("decimal(12,2)")
     blank = lambda f: F.coalesce(F.trim(F.col(f)), F.lit("")) == ""
     reason = F.coalesce(
         F.when(day.isNull(), BAD_DATE),
-        F.when(minutes.isNull() | F.isnan(minutes) | (minutes < 0) | (minutes == F.lit(float("inf"))), BAD_MINUTES),
+        F.when(minutes.isNull() | F.isnan(minutes) | (minutes < 0) | (minutes == F.lit(float("inf"))) | amount.isNull(), BAD_MINUTES),
         F.when(blank("linha") | blank("equipamento"), NO_MACHINE))
     present = [f for f in TEXT_FIELDS if f in rows.columns and f not in fv.NUMERIC_FIELDS]
     clean = {f: F.coalesce(F.trim(F.col(f)), F.lit("")) for f in present}
-    numbers = {f: calc.pt_number(f).cast("decimal(12,2)")
+    numbers = {f: calc.pt_number(f).try_cast("decimal(12,2)")
                for f in fv.NUMERIC_FIELDS if f in rows.columns and f != "minutos_parada"}
-    out = rows.withColumns({"reject_reason": reason, "_day": day, "_minutes": minutes.cast("decimal(12,2)")}).withColumns({**clean, **numbers})
+    out = rows.withColumns({"reject_reason": reason, "_day": day, "_minutes": amount}).withColumns({**clean, **numbers})
     return out.withColumns({
         "data_inicio": F.col("_day"), "minutos_parada": F.col("_minutes"),
         "centro": F.coalesce(F.nullif("centro", F.lit("")), F.lit("Não informada")),
@@ -148,7 +150,7 @@ def read_legacy(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, list[
     missing = sorted({f for f in fv.LEGACY_REQUIRED for h in headers.values() if f not in h["fields"].values()})
     warnings = [f"Coluna esperada não encontrada no arquivo: '{f}'" for f in missing]
     rows = _rows(lines, headers)
-    numbers = {f: calc.pt_number(f).cast("decimal(12,2)") for f in fv.NUMERIC_FIELDS}
+    numbers = {f: calc.pt_number(f).try_cast("decimal(12,2)") for f in fv.NUMERIC_FIELDS}
     texts = {f: F.trim(F.col(f)) for f in fv.SOURCE_FIELDS if f not in fv.NUMERIC_FIELDS}
     return rows.withColumns({**numbers, **texts}).withColumn(
         "observacao_normalizada", tokens.normal_note("observacao_raw")), warnings

@@ -99,3 +99,19 @@ def test_replace_and_outputs(spark, tmp_path):
       AS t(analysis_id, card_id, class, validated, confidence)""")
     out = {r["id"]: (r["Classificação"], r["tone"]) for r in sinks.classified_output(stops, members, cards).collect()}
     assert out == {0: ("FALHA DE SENSOR", "validada"), 1: ("SEM DESCRIÇÃO", "baixa"), 2: (None, None)}
+
+
+def test_long_quoted_cells_take_no_stack(spark):
+    from pyspark.sql import functions as F
+
+    from stoplens.sources.landed import split_cells
+    note = 'x""y;' * 20_000
+    cells = spark.createDataFrame([(f'a;"{note}";b',)], "line string").select(split_cells(F.col("line"), F.lit(";")).alias("c")).first()["c"]
+    assert cells == ["a", note.replace('""', '"'), "b"]
+
+
+def test_minutes_beyond_the_decimal_are_quarantined(spark, tmp_path):
+    from stoplens.sources.landed import BAD_MINUTES, read_landed
+    (tmp_path / "a.csv").write_text("Data;Linha;Equipamento;Observações;Minutos de parada\n01/02/2026;L1;M1;x;99999999999\n01/02/2026;L1;M1;y;5\n", encoding="utf-8")
+    good, bad = read_landed(spark, [str(tmp_path / "a.csv")], strict=False)
+    assert [r["observacao_raw"] for r in good.collect()] == ["y"] and [r["reject_reason"] for r in bad.collect()] == [BAD_MINUTES]

@@ -56,38 +56,26 @@ def test_order_numbers_and_touching_intervals_are_one_failure(spark):
     assert [(r["count"], r["lines"], r["mttr"]) for r in table] == [(3, 6, 90.0)]
 
 
-def sequential_events(rows):
-    """The rule read literally: sort by interval and id, join while a start equals the end before it."""
-    import re
-    out, groups = {}, {}
-    for r in rows:
-        groups.setdefault((r["analysis_id"], r["centro"], r["linha"], r["equipamento"], r["data_inicio"], r["observacao_normalizada"] or f"__{r['id']}"), []).append(r)
-
-    def span(r):
-        m = re.search(r"(\d{1,2}):(\d{2})\s*-\s*(\d{1,2}):(\d{2})", r["intervalo"] or "")
-        if not m:
-            return None
-        a, b = int(m[1]) * 60 + int(m[2]), int(m[3]) * 60 + int(m[4])
-        return a, b if b > a else b + 1440
-    for key, members in groups.items():
-        current = end = None
-        for r in sorted(members, key=lambda r: (span(r) or (9999, 9999), r["id"])):
-            s = span(r)
-            if current and s and end is not None and s[0] == end % 1440 and not key[-1].startswith("__"):
-                end = s[1]
-            else:
-                current, end = f"{r['analysis_id']}:{r['id']}", s[1] if s else None
-            out[r["id"]] = current
-    return out
-
-
-def test_events_match_the_sequential_rule_on_random_logs(spark):
+def islands(log):
+    """Event of each stop by gaps and islands: a stop opens an island unless it starts where its neighbour ended."""
+    stops = log.toPandas()
+    at = stops["intervalo"].str.extract(r"(\d+):(\d+)-(\d+):(\d+)").astype(float)
+    stops["start"], stops["end"] = at[0] * 60 + at[1], at[2] * 60 + at[3]
+    stops.loc[stops["end"] <= stops["start"], "end"] += 1440
+    named = stops["analysis_id"] + ":" + stops["id"].astype(str)
+    key = ["analysis_id", "centro", "linha", "equipamento", "data_inicio", "observacao_normalizada"]
+    chained = stops[stops["start"].notna() & (stops["observacao_normalizada"].fillna("") != "")].sort_values([*key, "start", "end", "id"])
+    opens = chained["start"] != chained.groupby(key)["end"].shift() % 1440
+    heads = named[chained.index].where(opens).ffill()
+    return dict(zip(stops["id"], named.mask(named.index.isin(heads.index), heads.reindex(named.index)), strict=True))
+
+
+def test_events_are_islands_of_touching_stops_on_random_logs(spark):
     rng = random.Random(5)
     choices = ["08:00-09:00", "09:00-10:00", "10:00-11:00", "23:00-00:00", "00:00-01:00", "06:00-06:00", "09:00-09:00", None, "x"]
     rows = [{"machine": rng.choice("AB"), "minutes": 1, "note": rng.choice(["N1", "N2", ""]), "interval": rng.choice(choices), "file": rng.choice("xy")} for _ in range(400)]
     log = stops(spark, rows)
-    got = {r["id"]: r["event_id"] for r in with_events(log).collect()}
-    assert got == sequential_events([r.asDict() for r in log.collect()])
+    assert {r["id"]: r["event_id"] for r in with_events(log).collect()} == islands(log)
 
 
 def test_period_comparison(spark):
