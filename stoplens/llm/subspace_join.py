@@ -27,7 +27,7 @@ from stoplens.llm.components import connected_components
 
 COSINE = 0.93
 BLOCK = 8  # dimensions of a block
-CHUNK = 512
+CHUNK = 1024
 SLACK = 1e-6  # added to the squared distance for rounding; the cosine decides
 
 
@@ -132,7 +132,9 @@ def vector_links(vectors: DataFrame, id: str = "vec_id", vector: str = "embeddin
     parts = dealt.join(sizes.hint("rebalance"), cell).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     groups = parts.select("*", F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(
         F.least(F.col("chunk"), o).alias("left"), F.greatest(F.col("chunk"), o).alias("right")))).alias("g")).select("*", "g.*").drop("g", "chunks")
-    found = groups.groupBy(*cell, "left", "right").applyInArrow(in_tasks(__name__, "linked", cosine), "node long, n_links long, root long")
+    # dealt out anew by all six keys: the join's partitioning would keep the chunk pairs of a cell in one task
+    pairs = groups.repartition(*cell, "left", "right").groupBy(*cell, "left", "right")
+    found = pairs.applyInArrow(in_tasks(__name__, "linked", cosine), "node long, n_links long, root long")
     found = written(found, "vector-links")
     parts_of = connected_components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
     result = alike.join(found.groupBy("node").agg(F.sum("n_links").alias("n_links")), "node", "left")\
