@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stoplens.llm.common import in_tasks, written
-from stoplens.llm.components import connected_components
+from stoplens.llm.components import connected_components, local_roots
 
 COSINE = 0.93
 BLOCK = 8  # dimensions of a block
@@ -88,7 +88,7 @@ def linked(table: pa.Table, cosine: float) -> pa.Table:
     i, j = left[i], right[j]
     keep = home[i] | home[j]
     i, j = i[keep], j[keep]
-    links, root = np.zeros(len(node), np.int64), np.arange(len(node))
+    links = np.zeros(len(node), np.int64)
     found: list[tuple[np.ndarray, np.ndarray]] = []
     for at in range(0, len(i), 50_000):  # bounded memory in a chunk of near copies
         p, q = i[at:at + 50_000], j[at:at + 50_000]
@@ -104,14 +104,7 @@ def linked(table: pa.Table, cosine: float) -> pa.Table:
         np.add.at(links, q, n[p])
         found.append((p, q))
     p, q = (np.concatenate([np.zeros(0, np.int64), *(f[s] for f in found)]) for s in (0, 1))
-    while len(p):  # smallest place of each part, halved paths
-        low = np.minimum(root[p], root[q])
-        before = root.copy()
-        np.minimum.at(root, root[p], low)
-        np.minimum.at(root, root[q], low)
-        root = root[root]
-        if (before == root).all():
-            break
+    root = local_roots(len(node), p, q)
     has = links > 0
     return pa.table({"node": node[has], "n_links": links[has], "root": node[root[has]]})
 

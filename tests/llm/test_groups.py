@@ -81,6 +81,40 @@ def test_links_reach_the_same_components_in_crowded_buckets(frame, monkeypatch,
     assert parts(fps, links) == parts(fps, [(a, b) for a in fps for b in fps if a < b and close(a, b)])
 
 
+@pytest.mark.parametrize("crowd", [32, 2])
+def test_wide_links_with_a_second_fingerprint_match_brute_force(frame, monkeypatch, crowd):
+    monkeypatch.setattr(H, "CROWD", crowd)
+    monkeypatch.setattr(H, "CHUNK", 5)
+    random.seed(8)
+    words = ["".join(random.choice("abcdefghij") for _ in range(5)) for _ in range(400)]
+    texts = []
+    for _ in range(10):
+        own = [random.choice(words) for _ in range(250)]
+        for k in range(9):
+            copy = list(own)
+            for _ in range(k):
+                copy[random.randrange(250)] = random.choice(words)
+            texts.append(" ".join(copy))
+    hashes = [H.shingle_hashes(t, 5, 42) for t in texts]
+    least, check = {}, {}
+    for i, h in enumerate(hashes):
+        fp = H.majority(h)
+        least.setdefault(fp, i)
+        check[fp] = min(check.get(fp, 2 ** 63), H.majority(H.rehashed(h)))
+    bits = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count()
+    links = [(a, b) for a in least for b in least if a < b and bits(a, b) <= 6 and bits(check[a], check[b]) <= 16]
+    part = parts(least, links)
+    want = {c: min(least[f] for f in least if part[f] == c) for c in part.values()}
+    got = H.near_copies(frame([(i, t, 1, "x") for i, t in enumerate(texts)], DOCS), shingle=5, distance=6, blocks=9, confirm=16).collect()
+    assert {r.id: r.component_id for r in got} == {i: want[part[H.majority(h)]] for i, h in enumerate(hashes)}
+    assert len(links) > 20 and len(set(want.values())) >= 10
+
+
+def test_blocks_must_outnumber_the_differing_bits():
+    with pytest.raises(ValueError):
+        H.block_masks(4, 4)
+
+
 def test_vector_links_match_brute_force(frame, monkeypatch):
     monkeypatch.setattr(V, "CHUNK", 16)
     rng = np.random.default_rng(2)
