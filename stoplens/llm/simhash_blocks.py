@@ -8,9 +8,6 @@ a group) and linked to the smallest of the group: two fingerprints differ in at
 most in each can make them equal. For other distances it is split into chunks, and each pair of chunks is a group that
 returns a spanning set, one row per fingerprint. Both find the components that all pairs would give.
 
-Over many documents a wide distance links strangers by chance. ``confirm`` asks for at most so many differing bits in a
-second fingerprint too, of the same shingles hashed anew; equal fingerprints need no such check.
-
 Null and empty texts have no words and the fingerprint zero, which links like any other. Equal rows share fingerprint
 and component; null ids share a component but never name it; empty tables give empty tables; extra columns are not
 carried by the digest and pass through ``drop_near_copies``.
@@ -40,13 +37,6 @@ def shingle_hashes(text: str, shingle: int, seed: int) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(s, seed) for s in shingles], dtype="<u8")
 
 
-def rehashed(hashes: np.ndarray) -> np.ndarray:
-    """Other hashes of the same shingles: two rounds of shift and odd multiplier."""
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        hashes = (hashes ^ (hashes >> np.uint64(shift))) * np.uint64(factor)
-    return hashes ^ (hashes >> np.uint64(31))
-
-
 def majority(hashes: np.ndarray) -> int:
     """Signed 64-bit fingerprint: the bits set in over half the hashes."""
     votes = np.zeros(64, np.int64)
@@ -59,23 +49,17 @@ def fingerprint(text: str, shingle: int, seed: int) -> int:
     return majority(shingle_hashes(text, shingle, seed))
 
 
-def fingerprint_batches(batches, shingle: int, seed: int, confirmed: bool):
+def fingerprint_batches(batches, shingle: int, seed: int):
     for batch in batches:
-        texts, fps, checks = batch.column(1), [], []
-        for i in range(len(texts)):
-            hashes = shingle_hashes(texts[i].as_py() or "", shingle, seed)
-            fps.append(majority(hashes))
-            if confirmed:
-                checks.append(majority(rehashed(hashes)))
-        columns = {"id": batch.column(0), "fp": pa.array(fps, pa.int64()), **({"check": pa.array(checks, pa.int64())} if confirmed else {})}
-        yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
-
-
-def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, seed: int = SEED, confirmed: bool = False) -> DataFrame:
-    """(id, fp) of each row, with ``check`` if a second fingerprint is wanted, written to the shared folder."""
+        texts = batch.column(1)
+        fps = [fingerprint(texts[i].as_py() or "", shingle, seed) for i in range(len(texts))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["id", "fp"])
+
+
+def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """(id, fp) of each row, written to the shared folder."""
     kind = docs.schema[id].dataType.simpleString()
-    found = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))\
-        .mapInArrow(in_tasks(__name__, "fingerprint_batches", shingle, seed, confirmed), f"id {kind}, fp long" + ", check long" * confirmed)
+    found = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(in_tasks(__name__, "fingerprint_batches", shingle, seed), f"id {kind}, fp long")
     return written(found, "fingerprints")
 
 
@@ -88,28 +72,23 @@ def block_masks(distance: int, blocks: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def linked_chunks(table: pa.Table, distance: int, confirm: int | None) -> pa.Table:
+def linked_chunks(table: pa.Table, distance: int) -> pa.Table:
     """Links inside a pair of chunks: (u, v), v the smallest fingerprint that u reaches."""
     table = table.sort_by("fp")
     fp, chunk, low, high = table["fp"].to_numpy(), table["chunk"].to_numpy(), table["left"][0].as_py(), table["right"][0].as_py()
     bits, left, right = fp.view("<u8"), np.flatnonzero(chunk == low), np.flatnonzero(chunk == high)
     i, j = np.nonzero(np.bitwise_count(bits[left][:, None] ^ bits[right][None, :]) <= distance)
-    i, j = left[i], right[j]
-    if confirm is not None:
-        check = table["check"].to_numpy().view("<u8")
-        near = np.bitwise_count(check[i] ^ check[j]) <= confirm
-        i, j = i[near], j[near]
-    root = local_roots(len(fp), i, j)
+    root = local_roots(len(fp), left[i], right[j])
     moved = root != np.arange(len(fp))
     return pa.table({"u": fp[moved], "v": fp[root[moved]]})
 
 
-def _links_of_chunks(crowded: DataFrame, distance: int, confirm: int | None) -> DataFrame:
+def _links_of_chunks(crowded: DataFrame, distance: int) -> DataFrame:
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
     dealt = crowded.withColumn("chunk", F.pmod(F.xxhash64("fp"), chunks).cast("int")).select("*", F.explode(F.transform(
         F.sequence(F.lit(0), chunks - 1), lambda o: F.struct(F.least("chunk", o).alias("left"), F.greatest("chunk", o).alias("right")))).alias("g")).select("*", "g.*").drop("g", "n")
     keys = ["pair", "block", "left", "right"]
-    return dealt.repartition(*keys).groupBy(*keys).applyInArrow(in_tasks(__name__, "linked_chunks", distance, confirm), "u long, v long")
+    return dealt.repartition(*keys).groupBy(*keys).applyInArrow(in_tasks(__name__, "linked_chunks", distance), "u long, v long")
 
 
 def _links_by_flips(crowded: DataFrame) -> DataFrame:
@@ -119,38 +98,38 @@ def _links_by_flips(crowded: DataFrame) -> DataFrame:
     return around.join(centres, "near").select(F.col("fp").alias("u"), "v").where("u <> v and bit_count(u ^ v) <= 2")
 
 
-def fingerprint_links(fps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, confirm: int | None = None) -> DataFrame:
+def fingerprint_links(fps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
     """(u, v) between different fingerprints of the distinct column ``fp``; a spanning set inside crowded buckets."""
-    columns = ["fp", "check"] if confirm is not None else ["fp"]
-    dealt = fps.select(*columns, F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in block_masks(distance, blocks)])).alias("pair", "block"))
+    dealt = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in block_masks(distance, blocks)])).alias("pair", "block"))
     sizes = dealt.groupBy("pair", "block").agg(F.count(F.lit(1)).alias("n")).where("n > 1").hint("rebalance")
     shared = written(dealt.join(sizes, ["pair", "block"]), "fingerprint-blocks")
     small, crowded = shared.where(F.col("n") <= CROWD), shared.where(F.col("n") > CROWD)
-    side = lambda name: small.select("pair", "block", *[F.col(c).alias(f"{name}_{c}") for c in columns])
-    differ = lambda c: F.bit_count(F.col(f"u_{c}").bitwiseXOR(F.col(f"v_{c}")))
-    pairs = side("u").join(side("v"), ["pair", "block"]).where("u_fp < v_fp").where(differ("fp") <= distance)
-    if confirm is not None:
-        pairs = pairs.where(differ("check") <= confirm)
-    more = _links_by_flips(crowded) if distance == 2 and confirm is None else _links_of_chunks(crowded, distance, confirm)
-    return pairs.select(F.col("u_fp").alias("u"), F.col("v_fp").alias("v")).unionByName(more).distinct()
+    side = lambda name: small.select("pair", "block", F.col("fp").alias(name))
+    pairs = side("u").join(side("v"), ["pair", "block"]).where("u < v").where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance).select("u", "v")
+    more = _links_by_flips(crowded) if distance == 2 else _links_of_chunks(crowded, distance)
+    return pairs.unionByName(more).distinct()
 
 
 def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, seed: int = SEED,
-                distance: int = DISTANCE, blocks: int = BLOCKS, confirm: int | None = None) -> DataFrame:
+                distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
     """(id, fp, component_id) of each row; the component is the smallest id that links reach."""
-    rows = fingerprints(docs, id, text, shingle, seed, confirm is not None)
-    second = [F.min("check").alias("check")] if confirm is not None else []
-    distinct = written(rows.groupBy("fp").agg(F.min("id").alias("least"), *second), "distinct-fingerprints")
-    parts = connected_components(fingerprint_links(distinct.drop("least"), distance, blocks, confirm))
+    rows = fingerprints(docs, id, text, shingle, seed)
+    distinct = written(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
+    parts = connected_components(fingerprint_links(distinct.drop("least"), distance, blocks))
     named = distinct.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id")).hint("rebalance")
     return rows.join(named.join(least, "component").select("fp", "component_id").hint("rebalance"), "fp").select("id", "fp", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
-    """``docs`` with one row of each component: the row of its smallest id, of several with that id the one
-    first by text hash and text (of all-null ids, one null row). ``settings`` are those of ``near_copies``."""
-    kept = near_copies(docs, id, text, **settings).where("id <=> component_id").select(F.struct("id").alias("_key")).distinct()
+def first_of_components(docs: DataFrame, found: DataFrame, id: str, text: str) -> DataFrame:
+    """``docs`` with one row of each component of ``found(id, component_id)``: the row of its smallest id, of several
+    with that id the one first by text hash and text (of all-null ids, one null row)."""
+    kept = found.where("id <=> component_id").select(F.struct("id").alias("_key")).distinct()
     order = Window.partitionBy("_key").orderBy(F.xxhash64(text), F.col(text))
     return docs.withColumn("_key", F.struct(F.col(id).alias("id"))).join(kept, "_key", "left_semi")\
         .withColumn("_place", F.row_number().over(order)).where("_place = 1").select(*docs.columns)
+
+
+def drop_near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
+    """``docs`` with one row of each component, as ``first_of_components`` chooses it. ``settings`` are those of ``near_copies``."""
+    return first_of_components(docs, near_copies(docs, id, text, **settings), id, text)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 import corpus_pipeline
 from stoplens.llm import simhash_blocks as H
+from stoplens.llm import simhash_wide as W
 from stoplens.llm import subspace_join as V
 from stoplens.llm import url_filter as U
 from stoplens.llm.components import connected_components
@@ -82,32 +83,82 @@ def test_links_reach_the_same_components_in_crowded_buckets(frame, monkeypatch,
 
 
 @pytest.mark.parametrize("crowd", [32, 2])
-def test_wide_links_with_a_second_fingerprint_match_brute_force(frame, monkeypatch, crowd):
+def test_links_of_other_distances_match_brute_force(frame, monkeypatch, crowd):
     monkeypatch.setattr(H, "CROWD", crowd)
     monkeypatch.setattr(H, "CHUNK", 5)
     random.seed(8)
-    words = ["".join(random.choice("abcdefghij") for _ in range(5)) for _ in range(400)]
-    texts = []
-    for _ in range(10):
-        own = [random.choice(words) for _ in range(250)]
-        for k in range(9):
+    seeds = [random.getrandbits(64) for _ in range(5)]
+    fps = {f - (f >> 63 << 64) for s in seeds for _ in range(30) for f in [s ^ sum(1 << b for b in random.sample(range(64), random.randint(0, 5)))]}
+    close = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= 3
+    links = [(r.u, r.v) for r in H.fingerprint_links(frame([(f,) for f in fps], "fp long"), 3, 6).collect()]
+    assert parts(fps, links) == parts(fps, [(a, b) for a in fps for b in fps if a < b and close(a, b)])
+
+
+def edited_texts(families, copies, words):
+    """Texts of 240 words; the k-th copy of a family has k words replaced."""
+    random.seed(8)
+    words = ["".join(random.choice("abcdefghij") for _ in range(5)) for _ in range(words)]
+    texts = ["", None, " ", "one", "one two"]
+    for _ in range(families):
+        own = [random.choice(words) for _ in range(240)]
+        for k in range(copies):
             copy = list(own)
-            for _ in range(k):
-                copy[random.randrange(250)] = random.choice(words)
+            for at in random.sample(range(240), k):
+                copy[at] = random.choice(words)
             texts.append(" ".join(copy))
-    hashes = [H.shingle_hashes(t, 5, 42) for t in texts]
-    least, check = {}, {}
-    for i, h in enumerate(hashes):
-        fp = H.majority(h)
-        least.setdefault(fp, i)
-        check[fp] = min(check.get(fp, 2 ** 63), H.majority(H.rehashed(h)))
-    bits = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count()
-    links = [(a, b) for a in least for b in least if a < b and bits(a, b) <= 6 and bits(check[a], check[b]) <= 16]
-    part = parts(least, links)
-    want = {c: min(least[f] for f in least if part[f] == c) for c in part.values()}
-    got = H.near_copies(frame([(i, t, 1, "x") for i, t in enumerate(texts)], DOCS), shingle=5, distance=6, blocks=9, confirm=16).collect()
-    assert {r.id: r.component_id for r in got} == {i: want[part[H.majority(h)]] for i, h in enumerate(hashes)}
-    assert len(links) > 20 and len(set(want.values())) >= 10
+    return texts
+
+
+@pytest.mark.parametrize("crowd", [32, 2])
+def test_wide_fingerprints_match_brute_force(frame, monkeypatch, crowd):
+    monkeypatch.setattr(W, "CROWD", crowd)
+    monkeypatch.setattr(W, "CHUNK", 5)
+    texts = edited_texts(10, 9, 400)
+    words = W.n_words(W.BLOCKS, W.BITS)
+
+    def bits_of(text):
+        own = (text or "").lower().split()
+        shingles = {" ".join(own[i:i + 5]) for i in range(len(own) - 4)} or ({" ".join(own)} if own else set())
+        hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+        votes = [0] * 64 * words
+        for h in hashes:
+            for w in range(words):
+                mix = (h + (w + 1) * 0x9E3779B97F4A7C15) % 2 ** 64
+                for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                    mix = (mix ^ mix >> shift) * factor % 2 ** 64
+                mix ^= mix >> 31
+                for b in range(64):
+                    votes[64 * w + b] += mix >> b & 1
+        return sum((2 * n > len(hashes)) << b for b, n in enumerate(votes))
+
+    fps = [bits_of(t) for t in texts]
+    rough, most = W.most_bits(0.8, 64, W.ROUGH), W.most_bits(0.8, 64 * words, W.MARGIN)
+    block = (1 << W.BITS) - 1
+
+    def linked(a, b):
+        x = a ^ b
+        return x == 0 or x.bit_count() <= most and (x & (1 << 64) - 1).bit_count() <= rough and any(x >> W.BITS * k & block == 0 for k in range(W.BLOCKS))
+
+    n = len(texts)
+    want = parts(range(n), [(i, j) for i in range(n) for j in range(i) if linked(fps[i], fps[j])])
+    rows = [(i, t, 1, "x") for i, t in enumerate(texts)] + [(7, texts[7], 1, "x"), (None, "", 1, "x")]
+    got = W.similar_copies(frame(rows, DOCS)).collect()
+    assert len(got) == len(rows) and all(r.component_id == (0 if r.id is None else want[r.id]) for r in got)
+    kept = W.drop_similar(frame(rows, DOCS))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values())) and kept.columns == ["doc_id", "text", "fp", "component_id"]
+    assert W.similar_copies(frame([], DOCS)).count() == 0
+
+
+def test_wide_fingerprints_find_similar_texts_and_no_others(frame):
+    texts = edited_texts(40, 8, 3000)
+    sets = [{tuple(t.split()[i:i + 5]) for i in range(len(t.split()) - 4)} if t else set() for t in texts]
+    fps = [(i, W.wide_fingerprint(W.shingle_hashes(t or "", 5, 42), 15).tolist()) for i, t in enumerate(texts) if t and len(t) > 20]
+    found = {tuple(sorted((r.u, r.v))) for r in W.wide_links(frame(fps, "node long, fp array<long>")).collect()}
+    jaccard = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for (a, _) in fps for (b, _) in fps if a < b}
+    assert min(jaccard[p] for p in found) > 0.7
+    for least, recall in ((0.8, 0.9), (0.85, 0.97)):
+        close = [p for p, s in jaccard.items() if s >= least]
+        assert len(close) > 100 and sum(p in found for p in close) >= recall * len(close)
 
 
 def test_blocks_must_outnumber_the_differing_bits():
