@@ -3,7 +3,7 @@
 The share of differing bits of two SimHash fingerprints estimates the angle of their shingle sets; sets of Jaccard
 similarity s differ in at most acos(2s / (1 + s)) / pi of the bits on average. With 64 bits that estimate is too rough
 to tell 0.8 from 0.9, and the pigeonhole blocks of so many bits too narrow to be keys. So the fingerprint holds
-``BLOCKS`` blocks of ``BITS`` bits (48 of 20): fingerprints that differ in fewer bits than there are blocks must share
+``BLOCKS`` blocks of ``BITS`` bits (96 of 24): fingerprints that differ in fewer bits than there are blocks must share
 one, others share one with a chance that README states. Fingerprints are joined on blocks; of the pairs that agree
 roughly in their first word, the differing bits of the whole are counted. The limit lies ``MARGIN`` standard deviations above
 the bits expected at the wanted similarity.
@@ -28,8 +28,8 @@ from stoplens.llm.components import connected_components, local_roots
 from stoplens.llm.simhash_blocks import SEED, first_of_components, shingle_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
-BLOCKS, BITS = 48, 20
-CROWD, CHUNK = 32, 1024
+BLOCKS, BITS = 96, 24
+CROWD, CHUNK = 4, 1024
 MARGIN = 1.0
 ROUGH = 4.0  # standard deviations allowed in the first word, so that it drops strangers only
 
