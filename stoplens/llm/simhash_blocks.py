@@ -18,7 +18,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stoplens.llm.common import in_tasks, written
@@ -121,15 +121,22 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle
     return rows.join(named.join(least, "component").select("fp", "component_id").hint("rebalance"), "fp").select("id", "fp", "component_id")
 
 
+def row_key(id: str, text: str) -> Column:
+    """Tells rows apart by id and text hash; null ids come last."""
+    return F.struct(F.col(id).isNull().alias("missing"), F.col(id).alias("id"), F.xxhash64(text).alias("hash"))
+
+
 def first_of_components(docs: DataFrame, found: DataFrame, id: str, text: str) -> DataFrame:
-    """``docs`` with one row of each component of ``found(id, component_id)``: the row of its smallest id, of several
-    with that id the one first by text hash and text (of all-null ids, one null row)."""
-    kept = found.where("id <=> component_id").select(F.struct("id").alias("_key")).distinct()
-    order = Window.partitionBy("_key").orderBy(F.xxhash64(text), F.col(text))
-    return docs.withColumn("_key", F.struct(F.col(id).alias("id"))).join(kept, "_key", "left_semi")\
-        .withColumn("_place", F.row_number().over(order)).where("_place = 1").select(*docs.columns)
+    """``docs`` with one row of each component of ``found(row, first)``, row keys: that of the component's least key, so
+    of its smallest id and of several texts with that id the first by hash. Of equal ids and texts one row stays."""
+    kept = found.where("row = first").select(F.col("row").alias("_key")).distinct()
+    columns = [F.col(c) for c in docs.columns]
+    chosen = docs.withColumn("_key", row_key(id, text)).join(kept, "_key", "left_semi")
+    return chosen.groupBy("_key").agg(F.first(F.struct(*columns)).alias("_row")).select("_row.*")
 
 
 def drop_near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """``docs`` with one row of each component, as ``first_of_components`` chooses it. ``settings`` are those of ``near_copies``."""
-    return first_of_components(docs, near_copies(docs, id, text, **settings), id, text)
+    keyed = docs.select(row_key(id, text).alias("row"), F.col(text).alias("text"))
+    found = near_copies(keyed, "row", "text", **settings).select(F.col("id").alias("row"), F.col("component_id").alias("first"))
+    return first_of_components(docs, found, id, text)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from stoplens.llm.common import in_tasks, written
 from stoplens.llm.components import connected_components, local_roots
-from stoplens.llm.simhash_blocks import SEED, first_of_components, shingle_hashes
+from stoplens.llm.simhash_blocks import SEED, first_of_components, row_key, shingle_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 BLOCKS, BITS = 96, 24
@@ -152,4 +152,6 @@ def similar_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", shin
 
 def drop_similar(docs: DataFrame, id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """``docs`` with one row of each component, as ``first_of_components`` chooses it."""
-    return first_of_components(docs, similar_copies(docs, id, text, **settings), id, text)
+    keyed = docs.select(row_key(id, text).alias("row"), F.col(text).alias("text"))
+    found = similar_copies(keyed, "row", "text", **settings).select(F.col("id").alias("row"), F.col("component_id").alias("first"))
+    return first_of_components(docs, found, id, text)
