@@ -58,3 +58,23 @@ best AS (SELECT page_id, arg_max(rules.h || rules.p, length(rules.h || rules.p))
          FROM u JOIN rules ON (u.host = rules.h OR u.host LIKE '%.' || rules.h) AND starts_with(u.path, rules.p) GROUP BY page_id)
 SELECT u.page_id, host, path, best.rule AS rule, coalesce(best.v, d.v, 'allow') AS verdict FROM u LEFT JOIN best USING (page_id) LEFT JOIN d ON d.a = u.host || u.path
 """
+
+ORACLES["op12_filter_audit"] = r"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, max(coalesce(quality = 1, false)) AS good, max(coalesce(toxic = 1, false)) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+m AS (SELECT part, (CASE WHEN len(w) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END
+        || CASE WHEN 100 * length(regexp_replace(x, '[^A-Z]', '', 'g')) > 10 * length(x) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(x, '[#$%&*|]') THEN 'D' ELSE '' END
+        || CASE WHEN t.doc_id > min(t.doc_id) OVER (PARTITION BY x) THEN 'E' ELSE '' END) AS fails, coalesce(l.good, false) AS good, coalesce(l.toxic, false) AS toxic
+      FROM t LEFT JOIN l ON l.doc_id = t.doc_id),
+g AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY part, fails),
+f(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM f a JOIN f b ON b.x <> a.x JOIN f c ON c.x NOT IN (a.x, b.x) JOIN f d ON d.x NOT IN (a.x, b.x, c.x) JOIN f e ON e.x NOT IN (a.x, b.x, c.x, d.x)),
+p AS (SELECT g.*, filter_order, coalesce(list_min(list_transform(string_split(NULLIF(fails, ''), ''), lambda v: strpos(filter_order, v))), 6) AS gone FROM g, o),
+s AS (SELECT part, filter_order, step::INTEGER AS step, substr(filter_order, step, 1) AS letter, sum(n) FILTER (gone > step) AS kept, sum(n) FILTER (gone = step) AS removed,
+        sum(n) FILTER (gone < step AND contains(fails, substr(filter_order, step, 1))) AS redundant, sum(n) FILTER (fails = substr(filter_order, step, 1)) AS unique_fails,
+        sum(good) FILTER (gone = step) AS good_lost, sum(toxic) FILTER (gone = step) AS toxic_lost
+      FROM p, (VALUES (1), (2), (3), (4), (5)) AS k(step) GROUP BY part, filter_order, step)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+  coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  sum(coalesce(removed, 0)) OVER (PARTITION BY part, letter)::BIGINT AS shapley FROM s
+"""

@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from stoplens.llm import oracles
 from stoplens.llm.best_fit import pack_documents
+from stoplens.llm.bit_whitening import whiten
 from stoplens.llm.common import read
+from stoplens.llm.filter_audit import audit, document_masks
 from stoplens.llm.line_windows import drop_repeated_lines
+from stoplens.llm.passage_attention import fit_quality, held_out, score_quality
 from stoplens.llm.quality_ledger import ledger, with_policy
 from stoplens.llm.secret_scan import joined, secret_spans
 from stoplens.llm.sentencepiece_bpe import encode_documents
@@ -71,6 +74,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "score", "severity", "toxic", F.col("grade_chances")[1].alias("p_toxic"), F.col("grade_chances")[2].alias("p_severe"))
 
 
+def op11_bit_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whiten(read(spark, sf_dir, "embeddings"))
+    return found.withColumnRenamed("id", "vec_id").withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(document_masks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))).select(
+        "part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
+
+
+def op13_passage_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_quality(docs, fit_quality(docs, read(spark, sf_dir, "labels")), carry=["doc_id"])
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "n_passages", "focus")
+
+
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality_ledger, op3_line_windows, op4_sentencepiece, op5_best_fit, op6_simhash,
-                                   op7_subspace_join, op8_url_filter, op9_token_attribution, op10_toxicity)}
+                                   op7_subspace_join, op8_url_filter, op9_token_attribution, op10_toxicity,
+                                   op11_bit_whitening, op12_filter_audit, op13_passage_attention)}
 ORACLES = oracles.ORACLES
