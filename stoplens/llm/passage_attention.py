@@ -11,9 +11,9 @@ all labels. Rows whose crc32(id as text) mod 3 is 1 are held out. Only the text
 
 Null and empty texts, and texts of white space alone, are one passage without words, scored like any other; texts of any
 length are encoded in segments of 1 MiB, cut at white space, where a passage ends too. Labels that repeat count with
-the largest quality, null labels and labels of unknown documents are skipped; with labels of one class, or without
-usable labels, every score is the share of label 1 (0.5 without any). A null id is not held out, nor learned from.
-Repeated rows are scored alike; empty tables give empty tables; extra columns pass through unless they carry the name of
+the largest quality, null labels are skipped, and labels of unknown documents count in the shares of the classes alone;
+with labels of one class, or without documents of both, every score is the share of label 1 (0.5 without any label). A
+null id is not held out, nor learned from. Repeated rows are scored alike; empty tables give empty tables; extra columns pass through unless they carry the name of
 an output column, which then wins.
 """
 
