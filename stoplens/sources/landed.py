@@ -1,106 +1,89 @@
 """Reading landed exports (A1-A5): header search, alias mapping, validation with quarantine, labelled notes.
 
-Files are delimited text. Only header candidates (30 rows per file) reach the driver, and only their distinct layouts;
-the data rows stay distributed and are mapped with one native projection per layout.
+Files are delimited text, read once by :mod:`stoplens.sources.records`. Headers stay a table with one row per file, and
+data rows pick their cells by the places it holds; no file's rows reach the driver.
 """
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stoplens import fixed_values as fv
 from stoplens.functions import calc, text, tokens
 from stoplens.operators.skew import lookup_join
+from stoplens.session import staged
+from stoplens.sources.records import SEPARATORS, range_starts, read_lines, records, separator_text, split_cells
 
 BAD_DATE = "data inválida"
 BAD_MINUTES = "minutos de parada devem ser um número maior ou igual a zero"
 NO_MACHINE = "linha e equipamento são obrigatórios"
+ENDLESS = "célula entre aspas sem fim"
 TEXT_FIELDS = [f for f in dict.fromkeys(fv.ALIASES.values()) if f not in ("data_inicio", "minutos_parada")]
 
 
-def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Every non-empty line with its file and its 1-based place in the file.
+def header_rows(lines: DataFrame, starts: DataFrame, required: list[str], names: Callable[[Column], Column], rows: int = fv.HEADER_SEARCH_ROWS) -> DataFrame:
+    """One row per file: its header and separator, found among its first ``rows`` records.
 
-    Lines get their place from the byte order Spark reads them in: ids grow along each file, so counting per split
-    and adding the counts of earlier splits numbers them without collecting a file in one task.
+    ``names`` turns cells into the array of the fields they name (null for others). A header names every required
+    field; the earliest record wins, then the separator under which it names most. ``header`` is null where no record
+    does; ``lacking`` then holds the shortest set of missing fields.
     """
-    raw = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-                                        F.monotonically_increasing_id().alias("seq"), F.col("value").alias("line"))
-    raw = raw.withColumn("line", F.regexp_replace("line", "^﻿", ""))
-    in_block = Window.partitionBy("file", "block").orderBy("seq")
-    numbered = raw.withColumn("at", F.row_number().over(in_block))
-    sizes = raw.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    return numbered.join(offsets, ["file", "block"]).select("file", (F.col("at") + F.col("offset")).alias("number"), "line")
-
-
-def delimiter(head: Column) -> Column:
-    """The most frequent of ; , and tab in the header line (; and , win ties in that order)."""
-    count = lambda d: F.size(F.split(head, d)) - 1
-    semi, comma, tab = count(";"), count(","), count("\t")
-    return F.when((semi >= comma) & (semi >= tab), ";").when(comma >= tab, ",").otherwise("\t")
-
-
-def split_cells(line: Column, separator: Column) -> Column:
-    """Cells of one delimited line; quoted cells may hold the separator and doubled quotes, and be of any length
-    (possessive repeats take no stack)."""
-    pattern = F.concat(separator, F.lit('("[^"]*+(?:""[^"]*+)*+"|[^'), separator, F.lit(']*)'))
-    cells = F.regexp_extract_all(F.concat(separator, line), pattern, F.lit(1))
-    return F.transform(cells, lambda c: F.when(c.startswith('"'), F.replace(
-        F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
-
-
-def find_headers(lines: DataFrame, required: list[str] | None = None, aliases: dict[str, str] | None = None) -> dict[str, dict]:
-    """A1 + A2: per file, the first of its 30 first rows whose cells name every required field.
-
-    Returns file -> {"number", "separator", "headers", "fields"} ("fields" maps column place to field). Raises with
-    the best-missing set when a file has no such row, and when two columns mean the same.
+    each = F.explode(F.array(*[F.lit(s) for s in range(len(SEPARATORS))]))
+    heads = records(lines, starts.withColumn("separator", each), first=rows).where(F.col("text").isNotNull())
+    heads = heads.withColumn("cells", split_cells(F.col("text"), separator_text(F.col("separator"))))
+    heads = heads.withColumn("fields", names(F.col("cells")))
+    lacking = F.array_sort(F.array_except(F.array(*[F.lit(f) for f in required]).cast("array<string>"), "fields"))
+    named = F.size(F.filter("fields", lambda f: f.isNotNull()))
+    heads = heads.withColumns({"lacking": lacking, "named": named})
+    header = F.min(F.when(F.size("lacking") == 0, F.struct(
+        F.col("number").alias("header_number"), (-F.col("named")).alias("rank"), "separator", F.col("cells").alias("titles"), "fields")))
+    nearest = F.min(F.struct(F.size("lacking").alias("n"), "lacking"))
+    return heads.groupBy("file").agg(header.alias("header"), nearest["lacking"].alias("lacking"))
+
+
+def alias_names(aliases: dict[str, str]) -> Callable[[Column], Column]:
+    """A2: the field that each title names, null for titles without one."""
+    known = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])
+    return lambda cells: F.transform(cells, lambda c: F.try_element_at(known, text.header_key(c)))
+
+
+def find_headers(lines: DataFrame, starts: DataFrame, required: list[str] | None = None, aliases: dict[str, str] | None = None,
+                 rows: int = fv.HEADER_SEARCH_ROWS) -> DataFrame:
+    """A1 + A2: (file, header_number, separator, titles, fields) of each file.
+
+    Raises with the shortest set of missing fields when a file has no header, and when two columns mean the same; one
+    row comes to the driver.
     """
-    aliases = aliases or fv.ALIASES
     required = list(fv.REQUIRED) if required is None else required
-    heads = lines.filter(F.col("number") <= fv.HEADER_SEARCH_ROWS).withColumn("separator", delimiter(F.col("line")))
-    heads = heads.withColumn("cells", split_cells(F.col("line"), F.col("separator")))
-    named = F.transform("cells", lambda c: text.header_key(c))
-    found: dict[str, dict] = {}
-    missing: dict[str, set] = {}
-    for row in heads.select("file", "number", "separator", "cells", named.alias("keys")).orderBy("file", "number").toLocalIterator():
-        fields = {i: aliases[k] for i, k in enumerate(row["keys"]) if k in aliases}
-        lacking = set(required) - set(fields.values())
-        if len(lacking) < len(missing.get(row["file"], set(required) | {""})):
-            missing[row["file"]] = lacking
-        if not lacking and row["file"] not in found:
-            found[row["file"]] = {"number": row["number"], "separator": row["separator"], "headers": list(row["cells"]), "fields": fields}
-    for file, lacking in missing.items():
-        if file not in found:
-            names = ", ".join(fv.REQUIRED.get(f, f) for f in sorted(lacking))
-            raise ValueError(f"Cabeçalhos não encontrados. Faltam: {names}")
-        if len(set(found[file]["fields"].values())) != len(found[file]["fields"]):
+    headers = staged(header_rows(lines, starts, required, alias_names(aliases or fv.ALIASES), rows), "landed-headers")
+    known = F.filter("header.fields", lambda f: f.isNotNull())
+    faults = headers.withColumn("twice", F.size(known) != F.size(F.array_distinct(known))).where("header IS NULL OR twice")
+    for fault in faults.select("lacking", F.col("header").isNull().alias("missing")).orderBy("file").limit(1).collect():
+        if not fault["missing"]:
             raise ValueError("Há duas colunas com o mesmo significado. Renomeie ou remova a coluna duplicada.")
-    return found
-
-
-def _rows(lines: DataFrame, headers: dict[str, dict]) -> DataFrame:
-    """Data rows with raw field columns and the map of original cells, one projection per distinct layout."""
-    layouts: dict[tuple, list[tuple[str, int]]] = {}
-    for file, h in headers.items():
-        layouts.setdefault((h["separator"], tuple(h["headers"]), tuple(sorted(h["fields"].items()))), []).append((file, h["number"]))
-    parts = []
-    for (separator, names, fields), files in layouts.items():
-        spark = lines.sparkSession
-        starts = spark.createDataFrame(files, "file string, header_number bigint")
-        body = lookup_join(lines, starts, ["file"], "inner").filter(F.col("number") > F.col("header_number"))
-        body = body.withColumn("cells", split_cells(F.col("line"), F.lit(separator)))
-        body = body.filter(F.exists("cells", lambda c: F.trim(c) != ""))
-        original = F.map_from_arrays(
-            F.array(*[F.lit(f"{i + 1} · {n or 'Coluna'}") for i, n in enumerate(names)]),
-            F.array(*[F.coalesce(F.get("cells", F.lit(i)), F.lit("")) for i in range(len(names))]))
-        place = {field: i for i, field in fields}
-        columns = [(F.get("cells", F.lit(place[f])) if f in place else F.lit(None).cast("string")).alias(f) for f in fv.SOURCE_FIELDS]
-        parts.append(body.select("file", F.col("number").alias("source_row"), original.alias("original"), *columns))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        raise ValueError("Cabeçalhos não encontrados. Faltam: " + ", ".join(fv.REQUIRED.get(f, f) for f in fault["lacking"]))
+    return headers.select("file", "header.*").drop("rank")
+
+
+def _body(lines: DataFrame, starts: DataFrame, headers: DataFrame) -> DataFrame:
+    """The records after each file's header, as cells beside the header's columns."""
+    own = lookup_join(starts, headers.select("file", "separator"), ["file"], "inner")
+    body = lookup_join(records(lines, own).drop("separator"), headers, ["file"], "inner").where(F.col("number") > F.col("header_number"))
+    return body.withColumn("cells", split_cells(F.col("text"), separator_text(F.col("separator"))))
+
+
+def _cell(field: str) -> Column:
+    return F.get("cells", (F.array_position("fields", field) - 1).cast("int"))
+
+
+def _rows(lines: DataFrame, starts: DataFrame, headers: DataFrame) -> DataFrame:
+    """Data rows with raw field columns and the map of original cells."""
+    body = _body(lines, starts, headers).where(F.col("text").isNull() | F.exists("cells", lambda c: F.trim(F.regexp_replace(c, r"\s+", " ")) != ""))
+    title = lambda c, i: F.concat((i + 1).cast("string"), F.lit(" · "), F.when(c == "", "Coluna").otherwise(c))
+    original = F.map_from_arrays(F.transform("titles", title), F.transform("titles", lambda c, i: F.coalesce(F.get("cells", i), F.lit(""))))
+    return body.select("file", F.col("number").alias("source_row"), original.alias("original"), F.col("text").isNull().alias("endless"),
+                       *[_cell(f).alias(f) for f in fv.SOURCE_FIELDS])
 
 
 def validated(rows: DataFrame) -> DataFrame:
@@ -108,13 +91,15 @@ def validated(rows: DataFrame) -> DataFrame:
     day = calc.multi_date("data_inicio")
     minutes = calc.pt_number("minutos_parada")
     amount = minutes.try_cast("decimal(12,2)")
-    blank = lambda f: F.coalesce(F.trim(F.col(f)), F.lit("")) == ""
+    stripped = lambda f: F.regexp_replace(F.coalesce(F.col(f), F.lit("")), r"(?U)^\s+|\s+$", "")
+    blank = lambda f: stripped(f) == ""
     reason = F.coalesce(
+        F.when(F.col("endless"), ENDLESS) if "endless" in rows.columns else F.lit(None).cast("string"),
         F.when(day.isNull(), BAD_DATE),
         F.when(minutes.isNull() | F.isnan(minutes) | (minutes < 0) | (minutes == F.lit(float("inf"))) | amount.isNull(), BAD_MINUTES),
         F.when(blank("linha") | blank("equipamento"), NO_MACHINE))
     present = [f for f in TEXT_FIELDS if f in rows.columns and f not in fv.NUMERIC_FIELDS]
-    clean = {f: F.coalesce(F.trim(F.col(f)), F.lit("")) for f in present}
+    clean = {f: stripped(f) for f in present}
     numbers = {f: calc.pt_number(f).try_cast("decimal(12,2)")
                for f in fv.NUMERIC_FIELDS if f in rows.columns and f != "minutos_parada"}
     out = rows.withColumns({"reject_reason": reason, "_day": day, "_minutes": amount}).withColumns({**clean, **numbers})
@@ -123,7 +108,7 @@ def validated(rows: DataFrame) -> DataFrame:
         "centro": F.coalesce(F.nullif("centro", F.lit("")), F.lit("Não informada")),
         "tipo_parada": F.coalesce(F.nullif("tipo_parada", F.lit("")), F.lit("Não informado")),
         "observacao_normalizada": tokens.normal_note(text.header_key("observacao_raw")),
-    }).drop("_day", "_minutes")
+    }).drop("_day", "_minutes", "endless")
 
 
 def read_landed(spark: SparkSession, paths: list[str], strict: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -132,7 +117,8 @@ def read_landed(spark: SparkSession, paths: list[str], strict: bool = True) -> t
     ``id`` numbers the good rows by file order; it is unique with ``file``.
     """
     lines = read_lines(spark, paths)
-    rows = validated(_rows(lines, find_headers(lines)))
+    starts = range_starts(lines)
+    rows = validated(_rows(lines, starts, find_headers(lines, starts)))
     bad = rows.filter("reject_reason IS NOT NULL").select("file", "source_row", "reject_reason")
     if strict:
         shown = bad.orderBy("file", "source_row").limit(20).collect()
@@ -146,10 +132,12 @@ def read_landed(spark: SparkSession, paths: list[str], strict: bool = True) -> t
 def read_legacy(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, list[str]]:
     """A4: permissive scan: header is row 1, missing columns become warnings, text trimmed, numbers or null."""
     lines = read_lines(spark, paths)
-    headers = find_headers(lines.filter("number = 1"), [], fv.LEGACY_ALIASES)
-    missing = sorted({f for f in fv.LEGACY_REQUIRED for h in headers.values() if f not in h["fields"].values()})
+    starts = range_starts(lines)
+    headers = find_headers(lines, starts, [], fv.LEGACY_ALIASES, rows=1)
+    wanted = F.array(*[F.lit(f) for f in fv.LEGACY_REQUIRED])
+    missing = sorted(r["f"] for r in headers.select(F.explode(F.array_except(wanted, "fields")).alias("f")).distinct().collect())
     warnings = [f"Coluna esperada não encontrada no arquivo: '{f}'" for f in missing]
-    rows = _rows(lines, headers)
+    rows = _rows(lines, starts, headers).where(~F.col("endless")).drop("endless")
     numbers = {f: calc.pt_number(f).try_cast("decimal(12,2)") for f in fv.NUMERIC_FIELDS}
     texts = {f: F.trim(F.col(f)) for f in fv.SOURCE_FIELDS if f not in fv.NUMERIC_FIELDS}
     return rows.withColumns({**numbers, **texts}).withColumn(
@@ -161,19 +149,14 @@ def read_labelled(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, Dat
 
     Files without both headers in their first 30 rows are skipped.
     """
-    lines = read_lines(spark, paths).withColumn("separator", delimiter(F.col("line")))
-    cells = split_cells(F.col("line"), F.col("separator"))
-    heads = lines.filter(F.col("number") <= fv.HEADER_SEARCH_ROWS).withColumn("cells", F.transform(cells, lambda c: text.plain_text(c)))
-    place = lambda start: F.array_position(F.transform("cells", lambda c: c.startswith(start)), True)
-    heads = heads.select("file", F.col("number").alias("header_number"), F.col("separator").alias("cut"),
-                         place("observa").alias("note_at"), place("classifica").alias("label_at")).filter("note_at > 0")
-    first = heads.groupBy("file").agg(F.min_by(F.struct("header_number", "cut", "note_at", "label_at"), "header_number").alias("h"))\
-        .select("file", "h.*").filter("label_at > 0")
-    body = lookup_join(lines.drop("separator"), first, ["file"], "inner").filter(F.col("number") > F.col("header_number"))
-    body = body.withColumn("cells", split_cells(F.col("line"), F.col("cut"))).filter(F.exists("cells", lambda c: c != ""))
-    at = lambda c: F.coalesce(F.get("cells", (F.col(c) - 1).cast("int")), F.lit(""))
-    rows = body.select("file", "number", at("note_at").alias("note"),
-                       F.trim(F.regexp_replace(at("label_at"), r"\s+", " ")).alias("label"))
+    lines = read_lines(spark, paths)
+    starts = range_starts(lines)
+    label = lambda c: F.when(text.plain_text(c).startswith("observa"), "note").when(text.plain_text(c).startswith("classifica"), "label")
+    headers = staged(header_rows(lines, starts, ["note"], lambda cells: F.transform(cells, label)).where("array_contains(header.fields, 'label')")
+                     .select("file", "header.*"), "landed-headers")
+    body = _body(lines, starts, headers).where(F.exists("cells", lambda c: c != ""))
+    rows = body.select("file", "number", F.coalesce(_cell("note"), F.lit("")).alias("note"),
+                       F.trim(F.regexp_replace(F.coalesce(_cell("label"), F.lit("")), r"\s+", " ")).alias("label"))
     complete = (F.trim("note") != "") & (F.col("label") != "")
     counts = rows.groupBy("file").agg(F.count(F.lit(1)).alias("lidas"), F.count_if(~complete).alias("faltantes"),
                                       F.count_if(complete).alias("rows"))
