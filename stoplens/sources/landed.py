@@ -114,11 +114,12 @@ def validated(rows: DataFrame) -> DataFrame:
 def read_landed(spark: SparkSession, paths: list[str], strict: bool = True) -> tuple[DataFrame, DataFrame]:
     """A1-A3: (stops, quarantine). Strict raises when any row is rejected, citing at most 20 of them.
 
-    ``id`` numbers the good rows by file order; it is unique with ``file``.
+    ``id`` numbers the good rows by file order; it is unique with ``file``. The typed rows are kept in the shared
+    folder, so that stops and quarantine are cut from one parsing.
     """
     lines = read_lines(spark, paths)
     starts = range_starts(lines)
-    rows = validated(_rows(lines, starts, find_headers(lines, starts)))
+    rows = staged(validated(_rows(lines, starts, find_headers(lines, starts))), "landed-rows")
     bad = rows.filter("reject_reason IS NOT NULL").select("file", "source_row", "reject_reason")
     if strict:
         shown = bad.orderBy("file", "source_row").limit(20).collect()

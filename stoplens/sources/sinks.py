@@ -1,11 +1,12 @@
 """Writes: guarded append, upsert, keyed update, per-analysis replacement, output datasets."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stoplens import fixed_values as fv
 from stoplens.operators.log_tables import latest
 from stoplens.operators.skew import lookup_join
+from stoplens.sources import versions
 
 
 def not_loaded(batches: DataFrame, loaded: DataFrame, hashes: list[str]) -> DataFrame:
@@ -15,17 +16,42 @@ def not_loaded(batches: DataFrame, loaded: DataFrame, hashes: list[str]) -> Data
     return batches
 
 
-def append_batches(batches: DataFrame, stops: DataFrame, loaded: DataFrame, batch_path: str, stop_path: str,
-                   force: bool = False) -> None:
-    """Append batches and their stops unless file or content was loaded; ``force`` appends anyway.
+def append_batches(batches: DataFrame, stops: DataFrame, folder: str, version: str, force: bool = False) -> None:
+    """Append batches (id, file_hash, content_hash, ..) and their stops (upload_batch_id, ..) unless file or content
+    was loaded; ``force`` appends anyway. Of new batches that share a content hash the one with the least id is taken.
 
-    The stops are written before the batch rows: an attempt that dies in between is repeated whole, because the
-    guard looks at batch rows, and readers join stops to batch rows.
+    Stops and batches become visible with one commit: an attempt that dies in between leaves the old state, and is
+    repeated whole under its ``version``.
     """
-    fresh = batches if force else not_loaded(batches, loaded, ["file_hash", "content_hash"])
+    spark = batches.sparkSession
+    if versions.entered(spark, folder, version):
+        return
+    loaded = versions.live(spark, folder, "batches", before=version)
+    fresh = batches
+    if not force:
+        first = batches.groupBy("content_hash").agg(F.min("id").alias("id")).select("id", F.lit(True).alias("_first"))
+        fresh = batches.join(first, "id", "left").where(F.col("_first") | F.col("content_hash").isNull()).drop("_first")
+        if loaded is not None:
+            fresh = not_loaded(fresh, loaded, ["file_hash", "content_hash"]).select(*batches.columns)
+    versions.stage(fresh, folder, "batches", version)
     ids = fresh.select(F.col("id").alias("upload_batch_id"))
-    lookup_join(stops, ids, ["upload_batch_id"], "inner").write.mode("append").parquet(stop_path)
-    fresh.write.mode("append").parquet(batch_path)
+    versions.stage(lookup_join(stops, ids, ["upload_batch_id"], "inner"), folder, "stops", version)
+    versions.enter(spark, folder, version)
+
+
+def insert_analyses(analyses: DataFrame, folder: str, version: str) -> None:
+    """Insert analyses whose content hash is not there yet."""
+    versions.add_first(analyses, folder, "analyses", ["content_hash"], version)
+
+
+def replace_summaries(summaries: DataFrame, analyses: DataFrame, folder: str, version: str) -> None:
+    """The summary rows of ``analyses`` (analysis_id) replace what was stored for them; an analysis whose new summary
+    is empty disappears. Read them with :func:`summaries`."""
+    versions.replace(summaries, analyses, folder, "summaries", ["analysis_id"], version)
+
+
+def summaries(spark: SparkSession, folder: str) -> DataFrame | None:
+    return versions.live(spark, folder, "summaries", ["analysis_id"])
 
 
 def upserted(current: DataFrame, changes: DataFrame, key: list[str], order: str) -> DataFrame:
@@ -42,7 +68,8 @@ def updated_items(items: DataFrame, updates: DataFrame, fields: list[str]) -> Da
 
 
 def replace_by_analysis(rows: DataFrame, path: str) -> None:
-    """Rows of the analyses present replace what was stored for them; other analyses stay."""
+    """Rows of the analyses present replace what was stored for them in a plain partitioned table; others stay. Where a new
+    summary may be empty, use :func:`replace_summaries`."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("analysis_id").parquet(path)
 
 
