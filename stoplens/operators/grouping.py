@@ -4,13 +4,21 @@ Notes join a group when their TF-IDF cosine with *every* member reaches the thre
 order and the lowest group wins. The rules are sequential, the computation is not:
 
 * equal texts collapse first, with partial aggregation, so copies cost nothing;
-* similar pairs come from an exact prefix-filter join (no pair of a context is formed unless it shares a rare term
-  and its norm bound allows the threshold); long posting lists are cut into chunks joined chunk by chunk;
-* tables that grew out of ``explode`` are joined with a merge hint, because size estimates do not see the growth;
-* the greedy assignment is the fixed point of a set-based update, repeated until nothing changes. By induction over
-  the text order that fixed point is the sequential result, and no context is ever held by one task.
+* texts fall into independent parts: those of one context and negation, and where these are many, those linked by
+  chains of shared prefix terms (similar texts share one). Links go to the least text of a posting list, so a family of
+  n near copies has O(n) of them. A part of up to ``PART_ENTRIES`` weights is settled in one small group, in the order of the
+  rules: a text is compared with the founders of groups that share a term with it, and with a member only where
+  their distances from the founder leave the answer open;
+* a larger part has its similar pairs from an exact prefix-filter join (no pair is formed unless it shares a rare term
+  and its norm bound allows the threshold); long posting lists are cut into chunks joined chunk by chunk. Its greedy
+  assignment is the fixed point of a set-based update, repeated until nothing changes: by induction over the text
+  order that is the sequential result, and no such part is ever held by one task;
+* tables that grew out of ``explode`` are joined with a merge hint, because size estimates do not see the growth.
 """
 
+from math import acos, sqrt
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +30,7 @@ from stoplens.session import cut_lineage, shuffle_partitions
 POSTING_CHUNK = 2000
 RANK_CHUNK_BITS = 16
 SLACK = 1e-12
+PART_ENTRIES = 1_000_000  # weights of the texts that are settled in one group
 
 
 def with_context(stops: DataFrame) -> DataFrame:
@@ -155,6 +164,119 @@ def assign_groups(pairs: DataFrame) -> DataFrame:
             return current
 
 
+def product(left: dict[int, float], right: dict[int, float]) -> float:
+    if len(left) > len(right):
+        left, right = right, left
+    return sum(w * right[t] for t, w in left.items() if t in right)
+
+
+def shortfall(founder: dict[int, float], own: dict[int, float]) -> tuple[float, float]:
+    """Norms of what a vector has less, and has more, than the founder on the founder's terms."""
+    gaps = [w - own.get(t, 0.0) for t, w in founder.items()]
+    return sqrt(sum(g * g for g in gaps if g > 0)), sqrt(sum(g * g for g in gaps if g < 0))
+
+
+def settle(table: pa.Table, threshold: float) -> pa.Table:
+    """(vid, g) of one part, text by text. Rows: part, vid, terms, weights.
+
+    A candidate group's founder f is close enough. Weights are not negative, so on f's terms alone a text x and a member
+    y have x.y >= x.f + y.f - 1 - (less of x)(more of y) - (more of x)(less of y). Where the group's least y.f and largest
+    norms already reach the threshold no member is compared; else each member by its own, then by its angle, and
+    only then by its vector.
+    """
+    angle = lambda cosine: acos(max(-1.0, min(1.0, cosine)))
+    limit, sure = angle(threshold) - 1e-9, threshold + 1e-9
+    order = table.column("vid").to_pylist()
+    rows = sorted(range(len(order)), key=order.__getitem__)
+    terms, weights = table.column("terms"), table.column("weights")
+    number: dict[str, int] = {}
+    posted: dict[int, list[tuple[int, float]]] = {}  # term -> groups whose founder has it
+    members: list[list[tuple[float, float, float, dict[int, float]]]] = []  # cosine to the founder, less, more, vector
+    worst: list[tuple[float, float, float]] = []
+    founders, out = [], []
+
+    def fits(g: int, cosine: float, less: float, more: float, own: dict[int, float]) -> bool:
+        least, most_less, most_more = worst[g]
+        if cosine + least - 1 - less * most_more - more * most_less >= sure:
+            return True
+        far = angle(cosine)
+        return all(cosine + c - 1 - less * m - more * n >= sure or far + angle(c) < limit or product(own, v) >= threshold - SLACK for c, n, m, v in members[g])
+
+    for r in rows:
+        own = {number.setdefault(t, len(number)): w for t, w in zip(terms[r].as_py(), weights[r].as_py(), strict=True)}
+        close: dict[int, float] = {}
+        for t, w in own.items():
+            for g, v in posted.get(t, ()):
+                close[g] = close.get(g, 0.0) + w * v
+        for g in sorted(g for g, s in close.items() if s >= threshold - SLACK):
+            less, more = shortfall(members[g][0][3], own)
+            if fits(g, close[g], less, more, own):
+                members[g].append((close[g], less, more, own))
+                least, most_less, most_more = worst[g]
+                worst[g] = min(least, close[g]), max(most_less, less), max(most_more, more)
+                out.append(founders[g])
+                break
+        else:
+            for t, w in own.items():
+                posted.setdefault(t, []).append((len(members), w))
+            members.append([(1.0, 0.0, 0.0, own)])
+            worst.append((1.0, 0.0, 0.0))
+            founders.append(order[r])
+            out.append(order[r])
+    return pa.table({"vid": pa.array([order[r] for r in rows], pa.int64()), "g": pa.array(out, pa.int64())})
+
+
+def linked_parts(terms: DataFrame, signs: DataFrame, threshold: float) -> DataFrame:
+    """(vid, part): texts joined by chains of shared prefix terms; part is the least vid of a chain.
+
+    Each round a text takes the least part known in any of its lists, and every part takes the least part that one of
+    its texts saw; parts grow by whole parts, so rounds grow with the logarithm of a chain's length.
+    """
+    lists = cut_lineage(terms.filter((F.col("tail") >= threshold - SLACK) & (F.col("df") > 1)).join(signs.hint("merge"), "vid")
+                        .select(F.xxhash64("bucket", "negated", "term").alias("list"), "vid"))
+    current = cut_lineage(lists.select("vid").distinct().withColumn("part", F.col("vid")))
+    while True:
+        placed = lists.join(current.hint("merge"), "vid")
+        least = placed.groupBy("list").agg(F.min("part").alias("least"), F.max("part").alias("most")).filter("least < most").select("list", "least")
+        seen = placed.select("list", "part").distinct().join(least.hint("merge"), "list").groupBy("part").agg(F.min("least").alias("to"))
+        moves = cut_lineage(seen.filter("to < part"))
+        if moves.isEmpty():
+            return current
+        while True:  # a part moves to where its goal moves
+            next_ = moves.join(moves.select(F.col("part").alias("to"), F.col("to").alias("_on")).hint("merge"), "to", "left")
+            next_ = cut_lineage(next_.select("part", F.coalesce("_on", "to").alias("to"), F.col("_on").isNotNull().alias("moved")))
+            moves = next_.select("part", "to")
+            if next_.filter("moved").isEmpty():
+                break
+        current = cut_lineage(current.join(moves.hint("merge"), "part", "left").select("vid", F.coalesce("to", "part").alias("part")))
+
+
+def grouped_texts(texts: DataFrame, terms: DataFrame, threshold: float = fv.MIN_SIMILARITY) -> DataFrame:
+    """(vid, g) for every text that may share a group; g is the vid of the text that founded its group."""
+    if not 0 < threshold <= 1:
+        raise ValueError("similarity threshold must be above 0 and at most 1")
+    signs = texts.select("vid", negation("text").alias("negated"))
+    lengths = terms.groupBy("bucket", "vid").agg(F.count(F.lit(1)).alias("entries")).join(signs.hint("merge"), "vid")
+    lengths = cut_lineage(lengths.withColumn("part", F.md5(F.concat_ws("\x1f", "bucket", "negated"))))
+    size = lambda df: df.groupBy("part").agg(F.sum("entries").alias("total"), F.count(F.lit(1)).alias("n"))
+    sized = lookup_join(lengths, size(lengths), ["part"], "inner")
+    small, large = sized.filter(F.col("total") <= PART_ENTRIES), sized.filter(F.col("total") > PART_ENTRIES)
+    parts, rest = small.filter("n > 1").select("vid", "part"), None
+    if not large.isEmpty():
+        wide = terms.join(large.select("vid").hint("merge"), "vid", "left_semi")
+        found = linked_parts(wide, signs, threshold).select("vid", F.col("part").cast("string").alias("part")).join(lengths.drop("part").hint("merge"), "vid")
+        found = lookup_join(found, size(found), ["part"], "inner")
+        parts = parts.unionByName(found.filter(F.col("total") <= PART_ENTRIES).filter("n > 1").select("vid", "part"))
+        giant = cut_lineage(found.filter(F.col("total") > PART_ENTRIES).select("vid"))
+        if not giant.isEmpty():
+            own = terms.join(giant.hint("merge"), "vid", "left_semi")
+            rest = assign_groups(similar_pairs(texts, own, threshold))
+    vectors = terms.groupBy("vid").agg(F.collect_list(F.struct("term", "w")).alias("v"))
+    rows = vectors.join(parts.hint("merge"), "vid").select("part", "vid", F.col("v.term").alias("terms"), F.col("v.w").alias("weights"))
+    settled = rows.groupBy("part").applyInArrow(lambda table: settle(table, threshold), "vid bigint, g bigint")
+    return settled if rest is None else settled.unionByName(rest)
+
+
 def group_similarity(assigned: DataFrame, terms: DataFrame) -> DataFrame:
     """Weighted mean similarity inside groups of several texts: (|sum of n*v|^2 - N) / (N (N - 1))."""
     sizes = assigned.groupBy("g").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("texts")).filter("texts > 1")
@@ -172,7 +294,7 @@ def group_notes(stops: DataFrame, threshold: float = fv.MIN_SIMILARITY) -> dict[
     keyed = cut_lineage(source.select("analysis_id", "id", "bucket", "column_id", "text"))
     texts = distinct_texts(keyed)
     terms = cut_lineage(text_terms(texts))
-    groups = assign_groups(similar_pairs(texts, terms, threshold))
+    groups = grouped_texts(texts, terms, threshold)
     assigned = texts.join(groups, "vid", "left").withColumn("g", F.coalesce("g", "vid"))
     assigned = cut_lineage(assigned)
     label = F.min_by("text", F.struct(-F.col("n"), F.length("text"), F.col("text")))
@@ -193,11 +315,11 @@ def group_notes(stops: DataFrame, threshold: float = fv.MIN_SIMILARITY) -> dict[
             "card_members": members.select("analysis_id", "card_id", F.col("id").alias("record_id"))}
 
 
-def propose_clusters(records: DataFrame, distance: float = 0.20, smallest: int = 2) -> DataFrame:
+def propose_clusters(records: DataFrame, distance: float = 0.20, smallest: int = 2) -> dict[str, DataFrame]:
     """Cluster proposals of pending records without a canonical failure, at least ``smallest`` members.
 
-    Only records with a line and a machine take part. Returns (cluster_id, linha, equipamento, suggested_name,
-    avg_similarity, size) with the members in a bridge table under ``members``.
+    Only records with a line and a machine take part. ``proposals``: (cluster_id, linha, equipamento, suggested_name,
+    avg_similarity, size); ``members``: the bridge table (cluster_id, record_id).
     """
     ready = records.filter((F.col("status") == "pending") & F.col("canonical_failure_id").isNull() & text.context_key().isNotNull())
     blank = {f: F.coalesce(f, F.lit("")) for f in fv.CONTEXT_FIELDS}
@@ -206,4 +328,5 @@ def propose_clusters(records: DataFrame, distance: float = 0.20, smallest: int =
     names = grouped["machines"].select("column_id", F.col("name").alias("equipamento"), F.col("line").alias("linha"))
     proposals = lookup_join(large, names, ["column_id"], "inner").select(
         F.col("card_id").alias("cluster_id"), "linha", "equipamento", F.col("name").alias("suggested_name"), "avg_similarity", "size")
-    return proposals
+    members = lookup_join(grouped["card_members"], large.select("card_id"), ["card_id"], "inner").select(F.col("card_id").alias("cluster_id"), "record_id")
+    return {"proposals": proposals, "members": members}

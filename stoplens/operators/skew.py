@@ -1,5 +1,7 @@
 """Helpers that keep one hot key from landing in one task."""
 
+import sys
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,8 +12,12 @@ SALTS = 8
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan (from file sizes and operators); no job runs."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Catalyst's size estimate of a plan (from file sizes and operators); no job runs. Joins of tables of unknown size
+    multiply to numbers too long to convert, which count as the largest."""
+    try:
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    except ValueError:
+        return sys.maxsize
 
 
 def lookup_join(rows: DataFrame, dimension: DataFrame, keys: list[str], how: str = "left",

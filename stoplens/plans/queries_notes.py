@@ -231,19 +231,60 @@ def j05_negation_words(spark, folder):
     return placed_texts(spark, folder).select("text", gr.negation("text").alias("negated")).distinct()
 
 
+# The grouping rules text by text: st holds the groups of a context after its first k texts, as lists of text numbers.
+GREEDY = (PAIRS_SQL + """, numbered AS (SELECT b, text, n, row_number() OVER (PARTITION BY b ORDER BY text) AS i FROM src),
+ near AS (SELECT x.b, y.i, list(x.i) AS l FROM pr JOIN numbered x ON x.b = pr.b AND x.text = pr.lo JOIN numbered y ON y.b = pr.b AND y.text = pr.hi GROUP BY x.b, y.i),
+ st AS (SELECT b, 1 AS k, [[CAST(1 AS BIGINT)]] AS groups FROM numbered WHERE i = 1
+  UNION ALL SELECT b, k + 1, CASE WHEN p IS NULL OR p = 0 THEN list_append(groups, [CAST(k + 1 AS BIGINT)])
+    ELSE list_transform(groups, lambda g, i: CASE WHEN i = p THEN list_append(g, CAST(k + 1 AS BIGINT)) ELSE g END) END
+   FROM (SELECT st.b, k, groups, list_position(list_transform(groups, lambda g: len(list_filter(g, lambda m: NOT list_contains(coalesce(l, []), m))) = 0), true) AS p
+    FROM st JOIN numbered z ON z.b = st.b AND z.i = st.k + 1 LEFT JOIN near ON near.b = st.b AND near.i = st.k + 1) q),
+ last AS (SELECT b, arg_max(groups, k) AS groups FROM st GROUP BY b),
+ put AS (SELECT b, g, unnest(members) AS i FROM (SELECT b, unnest(groups) AS members, unnest(range(1, len(groups) + 1)) AS g FROM last) u),
+ grp AS (SELECT put.b, g, text, n FROM put JOIN numbered USING (b, i)),
+ vec AS (SELECT grp.b, g, wt.term, sum(n * w) AS s FROM grp JOIN wt ON wt.b = grp.b AND wt.text = grp.text GROUP BY ALL),
+ len2 AS (SELECT b, g, sum(s * s) AS q FROM vec GROUP BY ALL),
+ card AS (SELECT grp.b, grp.g, sum(n) AS size, count(*) AS texts, arg_min(text, (-n, length(text), text)) AS label FROM grp GROUP BY ALL),
+ out AS (SELECT card.b, CASE WHEN label LIKE '\\_\\_empty\\_%' ESCAPE '\\' THEN upper('Descrição não informada') ELSE label END AS name, CAST(size AS BIGINT) AS size, texts,
+  CASE WHEN texts = 1 THEN 1.0 ELSE round((q - size) / (size * (size - 1)), 4) END AS avg_similarity FROM card LEFT JOIN len2 ON len2.b = card.b AND len2.g = card.g)""")
+
+
 @query("j10_cards")
 def j10_cards(spark, folder):
-    """Cards of the grouping (J6 is order dependent: checked against brute force in the tests)."""
+    """Cards of the grouping under the hashes of their columns; j10_card_table compares all but the hash with SQL."""
     return gr.group_notes(placed(spark, folder))["cards"].select("column_id", "name", "size", "texts", "avg_similarity")
 
 
-@query("j09_cluster_proposals")
-def j09_cluster_proposals(spark, folder):
+@query("j10_card_table", JOINED.replace("WITH ", "WITH RECURSIVE ", 1) + ", " + GREEDY + """ SELECT centro, linha, equipamento, name, size, texts, avg_similarity, count(*) AS times
+ FROM out JOIN (SELECT DISTINCT centro, linha, equipamento, centro || linha || equipamento || tipo_parada AS b FROM tx) c USING (b) GROUP BY ALL""")
+def j10_card_table(spark, folder):
+    grouped = gr.group_notes(placed(spark, folder))
+    places = grouped["machines"].select("column_id", F.col("unit").alias("centro"), F.col("line").alias("linha"), F.col("name").alias("equipamento"))
+    cards = grouped["cards"].select("column_id", F.upper("name").alias("name"), "size", "texts", "avg_similarity").join(places, "column_id")
+    return cards.groupBy("centro", "linha", "equipamento", "name", "size", "texts", "avg_similarity").agg(F.count(F.lit(1)).alias("times"))
+
+
+def proposed(spark, folder):
     records = placed(spark, folder).withColumns({"status": F.when(F.col("cluster_id") % 3 == 1, "confirmed").otherwise("pending"),
                                                  "canonical_failure_id": F.lit(None).cast("bigint")})
     return gr.propose_clusters(records)
 
 
+@query("j09_cluster_proposals")
+def j09_cluster_proposals(spark, folder):
+    return proposed(spark, folder)["proposals"]
+
+
+@query("j09_cluster_members", JOINED.replace("WITH ", "WITH RECURSIVE ", 1).replace("tipo_parada, CASE WHEN", "tipo_parada, cluster_id, CASE WHEN", 1).replace(
+    "FROM placed GROUP BY ALL", "FROM placed WHERE cluster_id % 3 <> 1 GROUP BY ALL", 1) + ", " + GREEDY + """, of AS (SELECT p.id, grp.b, grp.g FROM placed p
+  JOIN grp ON grp.b = p.centro || p.linha || p.equipamento || p.tipo_parada AND grp.text = p.text WHERE p.cluster_id % 3 <> 1)
+ SELECT id AS record_id, min(id) OVER (PARTITION BY b, g) AS first_record, count(*) OVER (PARTITION BY b, g) AS size FROM of QUALIFY size >= 2""")
+def j09_cluster_members(spark, folder):
+    members = proposed(spark, folder)["members"]
+    named = members.groupBy("cluster_id").agg(F.min("record_id").alias("first_record"), F.count(F.lit(1)).alias("size"))
+    return members.join(named, "cluster_id").select("record_id", "first_record", "size")
+
+
 DOCS = """src AS (SELECT lang || '/' || source AS b, upper(trim(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g'))) AS text, 1 AS n FROM documents
   GROUP BY ALL)"""
 

@@ -4,6 +4,7 @@ import math
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,7 +93,10 @@ def sequential_groups(texts, threshold=0.8):
     return {frozenset(texts[i] for i in g) for g in groups}
 
 
-def test_grouping_matches_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("entries", [1_000_000, 400, 1])
+def test_grouping_matches_brute_force(spark, monkeypatch, entries):
+    """Whole contexts in one part; parts by shared prefix terms, some of them too large; all parts too large."""
+    monkeypatch.setattr(gr, "PART_ENTRIES", entries)
     monkeypatch.setattr(gr, "POSTING_CHUNK", 3)
     monkeypatch.setattr(gr, "RANK_CHUNK_BITS", 2)
     rng = random.Random(11)
@@ -107,6 +111,60 @@ def test_grouping_matches_brute_force(spark, monkeypatch):
     assert {frozenset(g) for g in by_card.values()} == want and max(map(len, want)) > 2
 
 
+def part(vectors):
+    rows = [(f"t{k}" for k in v) for v in vectors]
+    return pa.table({"vid": list(range(len(vectors))), "terms": [list(r) for r in rows], "weights": [list(v.values()) for v in vectors]})
+
+
+def unit(vector):
+    norm = math.sqrt(sum(w * w for w in vector.values()))
+    return {k: w / norm for k, w in vector.items()}
+
+
+def test_near_copies_and_chains_take_few_comparisons(monkeypatch):
+    calls = []
+    real = gr.product
+    monkeypatch.setattr(gr, "product", lambda a, b: calls.append(1) or real(a, b))
+    rng = random.Random(3)
+    base = {k: 1.0 for k in range(60)}
+    copies = [unit({**{k: w for k, w in base.items() if k not in lost}, 100 + i: 1.2}) for i in range(20_000) for lost in [rng.sample(range(60), 2)]]
+    got = gr.settle(part(copies), 0.8)
+    assert set(got.column("g").to_pylist()) == {0} and len(calls) < 20_000
+    chain = [unit({i: 1.0, i + 1: 1.0}) for i in range(20_000)]
+    calls.clear()
+    got = gr.settle(part(chain), 0.45)
+    assert got.column("g").to_pylist() == [i - i % 2 for i in range(20_000)] and len(calls) < 20_000
+
+
+def test_settling_bounds_are_safe():
+    """Random vectors around the threshold, against all comparisons."""
+    rng = random.Random(5)
+    for _ in range(60):
+        centre = [{k: rng.random() + 0.2 for k in rng.sample(range(14), 6)} for _ in range(3)]
+        vectors = [unit({**(c := rng.choice(centre)), **{rng.randrange(14): rng.random() * 1.5 for _ in range(2)}}) for _ in range(40)]
+        groups = []
+        for i, v in enumerate(vectors):
+            home = next((g for g in groups if all(gr.product(v, vectors[j]) >= 0.8 - 1e-12 for j in g)), None)
+            if home is None:
+                groups.append(home := [])
+            home.append(i)
+        want = [g[0] for i in range(40) for g in groups if i in g]
+        assert gr.settle(part(vectors), 0.8).column("g").to_pylist() == want
+
+
+def test_parts_of_a_long_chain_take_few_rounds(spark, monkeypatch):
+    calls = []
+    real = gr.cut_lineage
+    monkeypatch.setattr(gr, "cut_lineage", lambda df: calls.append(1) or real(df))
+    ids = random.Random(1).sample(range(600), 600)
+    rows = [("b", ids[i], f"t{t:03}", 2, 0.7, 1.0) for i in range(600) for t in (i, i + 1) if i != 300 or t == 301]
+    terms = spark.createDataFrame(rows, "bucket string, vid long, term string, df long, w double, tail double")
+    signs = spark.createDataFrame([(i, "") for i in ids], "vid long, negated string")
+    got = {r["vid"]: r["part"] for r in gr.linked_parts(terms, signs, 0.8).collect()}
+    assert got == {ids[i]: min(ids[:300] if i < 300 else ids[300:]) for i in range(600)}
+    assert len(calls) < 60
+
+
 def test_copies_contexts_and_negation(spark):
     rows = [("f", i, "U1", "L1", "Enchedora", "M", "", "", "ROLAMENTO QUEBRADO") for i in range(1307)]
     rows += [("f", 2000, "U2", "L1", "Enchedora", "M", "", "", "ROLAMENTO QUEBRADO"), ("f", 2001, "U1", "L1", "Enchedora", "M", "", "", "SEM ROLAMENTO QUEBRADO"),
