@@ -177,9 +177,9 @@ def shortfall(founder: dict[int, float], own: dict[int, float]) -> tuple[float,
 
 
 def settle(table: pa.Table, threshold: float) -> pa.Table:
-    """(vid, g) of one part, text by text. Rows: part, vid, terms, weights.
+    """(vid, g) of one part, text by text. Rows: part, vid, terms, weights, prefix (which terms are in the text's prefix).
 
-    A candidate group's founder f is close enough. Weights are not negative, so on f's terms alone a text x and a member
+    A candidate group's founder f shares a prefix term with the text and is close enough. Weights are not negative, so on f's terms alone a text x and a member
     y have x.y >= x.f + y.f - 1 - (less of x)(more of y) - (more of x)(less of y). Where the group's least y.f and largest
     norms already reach the threshold no member is compared; else each member by its own, then by its angle, and
     only then by its vector.
@@ -188,9 +188,9 @@ def settle(table: pa.Table, threshold: float) -> pa.Table:
     limit, sure = angle(threshold) - 1e-9, threshold + 1e-9
     order = table.column("vid").to_pylist()
     rows = sorted(range(len(order)), key=order.__getitem__)
-    terms, weights = table.column("terms"), table.column("weights")
+    terms, weights, prefix = table.column("terms"), table.column("weights"), table.column("prefix")
     number: dict[str, int] = {}
-    posted: dict[int, list[tuple[int, float]]] = {}  # term -> groups whose founder has it
+    posted: dict[int, list[int]] = {}  # term -> groups whose founder has it in its prefix
     members: list[list[tuple[float, float, float, dict[int, float]]]] = []  # cosine to the founder, less, more, vector
     worst: list[tuple[float, float, float]] = []
     founders, out = [], []
@@ -204,21 +204,21 @@ def settle(table: pa.Table, threshold: float) -> pa.Table:
 
     for r in rows:
         own = {number.setdefault(t, len(number)): w for t, w in zip(terms[r].as_py(), weights[r].as_py(), strict=True)}
-        close: dict[int, float] = {}
-        for t, w in own.items():
-            for g, v in posted.get(t, ()):
-                close[g] = close.get(g, 0.0) + w * v
-        for g in sorted(g for g, s in close.items() if s >= threshold - SLACK):
+        heads = [t for t, rare in zip(own, prefix[r].as_py(), strict=True) if rare]
+        for g in sorted({g for t in heads for g in posted.get(t, ())}):
+            close = product(own, members[g][0][3])
+            if close < threshold - SLACK:
+                continue
             less, more = shortfall(members[g][0][3], own)
-            if fits(g, close[g], less, more, own):
-                members[g].append((close[g], less, more, own))
+            if fits(g, close, less, more, own):
+                members[g].append((close, less, more, own))
                 least, most_less, most_more = worst[g]
-                worst[g] = min(least, close[g]), max(most_less, less), max(most_more, more)
+                worst[g] = min(least, close), max(most_less, less), max(most_more, more)
                 out.append(founders[g])
                 break
         else:
-            for t, w in own.items():
-                posted.setdefault(t, []).append((len(members), w))
+            for t in heads:
+                posted.setdefault(t, []).append(len(members))
             members.append([(1.0, 0.0, 0.0, own)])
             worst.append((1.0, 0.0, 0.0))
             founders.append(order[r])
@@ -271,8 +271,9 @@ def grouped_texts(texts: DataFrame, terms: DataFrame, threshold: float = fv.MIN_
         if not giant.isEmpty():
             own = terms.join(giant.hint("merge"), "vid", "left_semi")
             rest = assign_groups(similar_pairs(texts, own, threshold))
-    vectors = terms.groupBy("vid").agg(F.collect_list(F.struct("term", "w")).alias("v"))
-    rows = vectors.join(parts.hint("merge"), "vid").select("part", "vid", F.col("v.term").alias("terms"), F.col("v.w").alias("weights"))
+    rare = (F.col("tail") >= threshold - SLACK) & (F.col("df") > 1)
+    vectors = terms.groupBy("vid").agg(F.collect_list(F.struct("term", "w", rare.alias("rare"))).alias("v"))
+    rows = vectors.join(parts.hint("merge"), "vid").select("part", "vid", F.col("v.term").alias("terms"), F.col("v.w").alias("weights"), F.col("v.rare").alias("prefix"))
     settled = rows.groupBy("part").applyInArrow(lambda table: settle(table, threshold), "vid bigint, g bigint")
     return settled if rest is None else settled.unionByName(rest)
 
