@@ -257,6 +257,7 @@ def sheet_report(cards: DataFrame) -> DataFrame:
     """Hit rate and provenance per analysis, weighted by stops.
 
     cards(analysis_id, count, class, suggested, source). Blank cards (no description before and after) do not count.
+    Where cards tell with ``estimated`` which suggestions are no snapshots, an analysis with any is estimated.
     """
     blank = (F.col("class") == fv.NO_NOTE) & (F.col("suggested") == fv.NO_NOTE)
     same = F.col("class") == F.col("suggested")
@@ -267,7 +268,8 @@ def sheet_report(cards: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(~blank & same & ~F.col("suggested").isin(fv.UNCLASSIFIED), n)), F.lit(0)).alias("_hits"),
         F.count_if(~blank & ~same).alias("corrections"),
         F.coalesce(F.sum(F.when(~blank & F.col("source").isin("memoria", "aprendizado"), n)), F.lit(0)).alias("_past"),
-        F.count_if(F.col("class").isin(fv.UNCLASSIFIED)).alias("unclassified"))
+        F.count_if(F.col("class").isin(fv.UNCLASSIFIED)).alias("unclassified"),
+        *([F.bool_or("estimated").alias("estimated")] if "estimated" in cards.columns else []))
     return out.withColumns({"hit_rate": calc.percent_1("_hits", "_total"), "from_past": calc.percent_1("_past", "_total")})\
         .drop("_total", "_hits", "_past")
 
