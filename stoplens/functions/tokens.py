@@ -1,7 +1,8 @@
 """String-ratio repairs of single words.
 
-The Ratcliff-Obershelp ratio has no native expression, so these are the only Arrow UDFs over text. They receive the
-words of a note, look only at words outside the vocabulary, and remember each word's repair per Python worker.
+The Ratcliff-Obershelp ratio has no native expression. Tables of notes go through :mod:`stoplens.operators.words`, where
+each distinct word is worked out once; the column form here is for streams, which can't look at all their words: it
+receives the words of a note, looks only at words outside the vocabulary, and remembers each word's repair for a batch.
 """
 
 from collections.abc import Callable
@@ -58,29 +59,6 @@ def normal_note(value: Column | str) -> Column:
     return text.fold_synonyms(F.array_join(repair_note_tokens(text.note_tokens(value)), " "))
 
 
-def repair_catalog_words(words: Column, vocabulary: list[str]) -> Column:
-    """K4: words of 6+ characters that start with no catalog word take the best one of ratio >= 0.84.
-
-    Candidates share the first letter and differ by at most 3 in length; the ratio is the larger of the whole word's
-    and of its prefix of the candidate's length; the last of equal candidates wins.
-    """
-    by_letter: dict[str, list[str]] = {}
-    for v in sorted(vocabulary):
-        by_letter.setdefault(v[0], []).append(v)
-    prefixes, cutoff = tuple(vocabulary), fv.TERM_REPAIR_RATIO
-
-    def repair(word: str) -> str:
-        if len(word) < 6 or word.startswith(prefixes):
-            return word
-        scored = [(max(SequenceMatcher(None, word, v).ratio(), SequenceMatcher(None, word[:len(v)], v).ratio()), v)
-                  for v in by_letter.get(word[0], []) if abs(len(v) - len(word)) <= 3]
-        good = [s for s in scored if s[0] >= cutoff]
-        return max(good)[1] if good else word
-
-    suspicious = F.exists(words, lambda w: F.length(w) >= 6)
-    return F.when(suspicious, _mapped(repair)(words)).otherwise(words)
-
-
 def string_ratio(a: Column, b: Column, least: float = fv.LABEL_SIMILARITY) -> Column:
     """Ratcliff-Obershelp ratio of two strings; 0 where the quick upper bound is already below ``least``."""
     def ratio(x: str, y: str) -> float:

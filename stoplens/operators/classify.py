@@ -4,10 +4,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stoplens import fixed_values as fv
-from stoplens.functions import text, tokens
+from stoplens.functions import text
+from stoplens.operators import words
 from stoplens.operators.catalog import Catalog
 from stoplens.operators.skew import lookup_join
-from stoplens.session import cut_lineage
+from stoplens.session import cut_lineage, staged
 
 
 def _position(padded: Column, terms: Column) -> Column:
@@ -23,15 +24,17 @@ def _occurs(padded: Column, terms: Column) -> Column:
 def explain(pairs: DataFrame, catalog: Catalog | None = None) -> DataFrame:
     """K2-K7 for a table of (observacao_raw, equipamento): label, confidence, source, reason, detail, candidates.
 
-    Notes match by word prefix after word repair. A rule wins first (earliest position); otherwise the earliest
-    component or process, components before processes, catalog order last. One native projection, no join: the
-    catalog is a bounded constant.
+    Notes match by word prefix after word repair, which distinct notes and words go through once. A rule wins first
+    (earliest position); otherwise the earliest component or process, components before processes, catalog order last.
+    The rest is one native projection: the catalog is a bounded constant.
     """
     catalog = catalog or Catalog()
     normal = text.catalog_text("observacao_raw")
     df = pairs.withColumn("_norm", normal)
+    notes = staged(df.select("_norm").distinct(), "catalog-notes")
+    fixed = words.repaired_texts(notes.where("_norm IS NOT NULL"), "_norm", words.catalog_repair(catalog.vocabulary())).withColumnRenamed("repaired", "_fixed_words")
+    df = lookup_join(df, staged(fixed, "catalog-repairs"), ["_norm"])
     df = df.withColumn("_words", F.split("_norm", " "))
-    df = df.withColumn("_fixed_words", tokens.repair_catalog_words(F.col("_words"), catalog.vocabulary()))
     df = df.withColumns({"_fixed": F.array_join("_fixed_words", " "), "_machine": F.concat(F.lit(" "), text.catalog_text("equipamento"))})
     df = df.withColumns({"_text": F.concat(F.lit(" "), "_fixed"), "_plain": F.concat(F.lit(" "), "_norm")})
 

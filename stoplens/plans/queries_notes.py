@@ -2,10 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from stoplens.functions import text, tokens
+from stoplens.functions import text
 from stoplens.operators import classify as cl
 from stoplens.operators import grouping as gr
+from stoplens.operators import words
 from stoplens.operators.catalog import Catalog
+from stoplens.operators.skew import lookup_join
 from stoplens.plans import fixtures as fx
 from stoplens.plans.fixtures import with_tables
 from stoplens.plans.queries_flow import B10, B11, O
@@ -21,14 +23,15 @@ PLACE = "CASE WHEN id % 12 = 6 THEN '' WHEN floor(id / 12) % 4 = 0 THEN '' WHEN
 
 @query("b06_normal_note", with_tables("stops", f"SELECT id, {NORMAL} AS value FROM stops"))
 def b06_normal_note(spark, folder):
-    return fx.stops(spark, folder).select("id", tokens.normal_note(text.header_key(O)).alias("value"))
+    return words.with_normal_notes(fx.stops(spark, folder).select("id", O), text.header_key(O), "value").select("id", "value")
 
 
 @query("b07_repaired_tokens")
 def b07_repaired_tokens(spark, folder):
     """Every note; SQL has no Ratcliff-Obershelp ratio, so the tests compare with difflib."""
-    repaired = F.array_join(tokens.repair_note_tokens(text.note_tokens(text.header_key(O))), " ")
-    return fx.stops(spark, folder).select("id", repaired.alias("value"))
+    notes = fx.stops(spark, folder).select("id", F.array_join(text.note_tokens(text.header_key(O)), " ").alias("note"))
+    fixed = words.repaired_texts(notes.select("note").distinct(), "note", words.note_repair())
+    return lookup_join(notes, fixed, ["note"], "inner").select("id", F.array_join("repaired", " ").alias("value"))
 
 
 # ---- K -----------------------------------------------------------------------------------------------------
@@ -178,10 +181,9 @@ JOINED = "WITH " + fx.CTE["stops"] + ", " + PLACED + ", " + BUCKET + ", " + TFID
 
 def placed(spark, folder):
     """Stops with normal notes that vary by place, in contexts shared by all files."""
-    stops = fx.stops(spark, folder)
-    note = tokens.normal_note(text.header_key(O))
-    return stops.withColumns({"observacao_normalizada": F.concat(note, F.expr(PLACE)), "analysis_id": F.lit("all"),
-                              "subchave_parada": F.lit(""), "sistema": F.lit("")})
+    stops = words.with_normal_notes(fx.stops(spark, folder), text.header_key(O), "note")
+    return stops.withColumns({"observacao_normalizada": F.concat("note", F.expr(PLACE)), "analysis_id": F.lit("all"),
+                              "subchave_parada": F.lit(""), "sistema": F.lit("")}).drop("note")
 
 
 def placed_texts(spark, folder):

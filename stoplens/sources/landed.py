@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stoplens import fixed_values as fv
-from stoplens.functions import calc, text, tokens
+from stoplens.functions import calc, text
 from stoplens.operators.skew import lookup_join
+from stoplens.operators.words import with_normal_notes
 from stoplens.session import staged
 from stoplens.sources.records import SEPARATORS, range_starts, read_lines, records, separator_text, split_cells
 
@@ -87,7 +88,7 @@ def _rows(lines: DataFrame, starts: DataFrame, headers: DataFrame) -> DataFrame:
 
 
 def validated(rows: DataFrame) -> DataFrame:
-    """A3: typed rows with ``reject_reason`` (null = good), defaults filled and the note normalised."""
+    """A3: typed rows with ``reject_reason`` (null = good) and defaults filled."""
     day = calc.multi_date("data_inicio")
     minutes = calc.pt_number("minutos_parada")
     amount = minutes.try_cast("decimal(12,2)")
@@ -107,7 +108,6 @@ def validated(rows: DataFrame) -> DataFrame:
         "data_inicio": F.col("_day"), "minutos_parada": F.col("_minutes"),
         "centro": F.coalesce(F.nullif("centro", F.lit("")), F.lit("Não informada")),
         "tipo_parada": F.coalesce(F.nullif("tipo_parada", F.lit("")), F.lit("Não informado")),
-        "observacao_normalizada": tokens.normal_note(text.header_key("observacao_raw")),
     }).drop("_day", "_minutes", "endless")
 
 
@@ -127,7 +127,7 @@ def read_landed(spark: SparkSession, paths: list[str], strict: bool = True) -> t
             raise ValueError("Corrija a planilha antes de importar. " + " ".join(
                 f"Linha {r['source_row']}: {r['reject_reason']}." for r in shown))
     good = rows.filter("reject_reason IS NULL").drop("reject_reason").withColumn("id", F.col("source_row"))
-    return good, bad
+    return with_normal_notes(good, text.header_key("observacao_raw")), bad
 
 
 def read_legacy(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, list[str]]:
@@ -141,8 +141,7 @@ def read_legacy(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, list[
     rows = _rows(lines, starts, headers).where(~F.col("endless")).drop("endless")
     numbers = {f: calc.pt_number(f).try_cast("decimal(12,2)") for f in fv.NUMERIC_FIELDS}
     texts = {f: F.trim(F.col(f)) for f in fv.SOURCE_FIELDS if f not in fv.NUMERIC_FIELDS}
-    return rows.withColumns({**numbers, **texts}).withColumn(
-        "observacao_normalizada", tokens.normal_note("observacao_raw")), warnings
+    return with_normal_notes(rows.withColumns({**numbers, **texts}), F.col("observacao_raw")), warnings
 
 
 def read_labelled(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
