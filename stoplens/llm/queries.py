@@ -13,7 +13,7 @@ from stoplens.llm.line_windows import drop_repeated_lines
 from stoplens.llm.passage_attention import fit_quality, held_out, score_quality
 from stoplens.llm.quality_ledger import ledger, with_policy
 from stoplens.llm.secret_scan import joined, secret_spans
-from stoplens.llm.sentencepiece_bpe import encode_documents
+from stoplens.llm.sentencepiece_bpe import encode_texts
 from stoplens.llm.simhash_blocks import near_copies
 from stoplens.llm.subspace_join import vector_links
 from stoplens.llm.token_attribution import attribute_tokens
@@ -40,9 +40,8 @@ def op3_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = encode_documents(read(spark, sf_dir, "documents"), PIECES)
-    return coded.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
-                        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = encode_texts(read(spark, sf_dir, "documents"), PIECES)
+    return coded.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op5_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
