@@ -85,21 +85,23 @@ class TextModel:
     def __init__(self, idf: DataFrame, model, labels: list[str], shortest: int, examples: int):
         self.idf, self.model, self.labels, self.shortest, self.examples = idf, model, labels, shortest, examples
 
-    def features(self, texts: DataFrame) -> DataFrame:
-        return vectors(weights(feature_counts(texts, self.shortest), self.idf))
+    def features(self, texts: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+        """Vectors of the texts; ``counts`` holds their feature counts already, maybe among others'."""
+        own = feature_counts(texts, self.shortest) if counts is None else counts.join(texts.select(digest().alias("digest")).distinct(), "digest", "left_semi")
+        return vectors(weights(own, self.idf))
 
-    def score(self, texts: DataFrame, temperature: float | None = None) -> DataFrame:
+    def score(self, texts: DataFrame, temperature: float | None = None, counts: DataFrame | None = None) -> DataFrame:
         """(digest, probabilities): the model's own, or the softmax of margins / temperature."""
-        scored = self.model.transform(self.features(texts))
+        scored = self.model.transform(self.features(texts, counts))
         if temperature is None:
             return scored.select("digest", vector_to_array("probability").alias("p"))
         raw = vector_to_array("rawPrediction") if "rawPrediction" in scored.columns else vector_to_array(self.model.getRawPredictionCol())
         return scored.select("digest", softmax(raw, temperature).alias("p"))
 
-    def predict(self, texts: DataFrame, temperature: float | None = None) -> DataFrame:
+    def predict(self, texts: DataFrame, temperature: float | None = None, counts: DataFrame | None = None) -> DataFrame:
         """Class, confidence, band and the three likeliest classes of every distinct text."""
         names = F.array(*[F.lit(n) for n in self.labels])
-        scored = self.score(texts, temperature)
+        scored = self.score(texts, temperature, counts)
         ranked = F.slice(F.reverse(F.array_sort(F.transform("p", lambda p, i: F.struct(p.alias("p"), (-i).alias("i"))))), 1, 3)
         top = scored.select("digest", F.transform(ranked, lambda e: F.struct(F.get(names, -e["i"]).alias("classe"), e["p"].alias("confianca"))).alias("top3"))
         best = F.element_at("top3", 1)
@@ -114,9 +116,12 @@ def softmax(scores: Column, temperature: float = fv.SOFTMAX_TEMPERATURE) -> Colu
     return F.transform(raised, lambda x: x / total)
 
 
-def _fit(examples: DataFrame, solver, shortest: int, count: int) -> TextModel:
-    """examples(text, label, weight); repeated texts share one vector."""
-    counts = cut_lineage(feature_counts(examples, shortest))
+def _fit(examples: DataFrame, solver, shortest: int, count: int, counts: DataFrame | None = None) -> TextModel:
+    """examples(text, label, weight); repeated texts share one vector. ``counts``: feature counts that hold theirs."""
+    if counts is None:
+        counts = cut_lineage(feature_counts(examples, shortest))
+    else:
+        counts = cut_lineage(counts.join(examples.select(digest().alias("digest")).distinct(), "digest", "left_semi"))
     idf = fit_idf(counts)
     indexer = StringIndexer(inputCol="label", outputCol="index", stringOrderType="alphabetAsc").fit(examples)
     data = cut_lineage(indexer.transform(examples.withColumn("digest", digest())).join(vectors(weights(counts, idf)), "digest").select("features", "index", "weight"))
@@ -140,42 +145,45 @@ def train_board_model(examples: DataFrame) -> TextModel | None:
     return _fit(rows, solver, 1, size)
 
 
-def train_sheet_model(examples: DataFrame, c: float = 1.0) -> TextModel:
-    """One-vs-rest linear SVM over words of 2+ letters; ``c`` is the inverse regularisation."""
+def train_sheet_model(examples: DataFrame, c: float = 1.0, counts: DataFrame | None = None) -> TextModel:
+    """One-vs-rest linear SVM over words of 2+ letters; ``c`` is the inverse regularisation, ``counts`` feature counts
+    that hold the examples'."""
     rows = examples.select("text", F.col("cls").alias("label"), F.col("weight").cast("double").alias("weight"))
     size = rows.count()
     svm = LinearSVC(featuresCol="features", labelCol="index", weightCol="weight", regParam=1.0 / (c * size), maxIter=20)
     solver = OneVsRest(classifier=svm, featuresCol="features", labelCol="index", weightCol="weight", rawPredictionCol="rawPrediction", parallelism=4)
-    return _fit(rows, solver, 2, size)
+    return _fit(rows, solver, 2, size, counts)
 
 
 def split_examples(examples: DataFrame, seed: int, share: float = 0.8, key: str = "text") -> DataFrame:
     """``in_train`` for exactly round(share * n) rows, by the order of a seeded hash of the text."""
-    ranked = running_total(examples, [F.xxhash64(F.lit(seed), F.col(key)), F.col(key)], {}, 16)
+    ranked = running_total(examples, [F.xxhash64(F.lit(seed), F.col(key)), F.col(key)], {})
     total = ranked.agg(F.round(F.count(F.lit(1)) * share).alias("_cut"))
     return ranked.join(F.broadcast(total)).withColumn("in_train", F.col("_position") <= F.col("_cut")).drop("_position", "_cut")
 
 
-def accuracy(model: TextModel, examples: DataFrame, temperature: float | None = fv.SOFTMAX_TEMPERATURE) -> float:
-    scored = examples.join(model.predict(examples.select("text"), temperature).select("text", "classe"), "text")
+def accuracy(model: TextModel, examples: DataFrame, temperature: float | None = fv.SOFTMAX_TEMPERATURE, counts: DataFrame | None = None) -> float:
+    scored = examples.join(model.predict(examples.select("text"), temperature, counts).select("text", "classe"), "text")
     return float(scored.agg(F.avg((F.col("classe") == F.col("cls")).cast("double"))).first()[0] or 0.0)
 
 
-def choose_c(train: DataFrame, seed: int = 43, grid: tuple[float, ...] = (0.5, 1.0, 2.0)) -> float:
-    """The C of best accuracy on an inner split; ties go to the one nearest 1."""
+def choose_c(train: DataFrame, seed: int = 43, grid: tuple[float, ...] = (0.5, 1.0, 2.0), counts: DataFrame | None = None) -> float:
+    """The C of best accuracy on an inner split; ties go to the one nearest 1, the first of equally near ones."""
     inner = cut_lineage(split_examples(train, seed))
     fit_rows, held = inner.filter("in_train"), inner.filter("NOT in_train")
-    scores = {c: accuracy(train_sheet_model(fit_rows, c), held) for c in grid}
+    scores = {c: accuracy(train_sheet_model(fit_rows, c, counts), held, counts=counts) for c in grid}
     return max(grid, key=lambda c: (scores[c], -abs(c - 1)))
 
 
-def stability(examples: DataFrame, reviewed: DataFrame, c: float, seeds: tuple[int, ...] = (42, 7, 1, 3, 11)) -> tuple[float, float]:
-    """Mean and deviation of the accuracy over several seeded splits; reviewed examples always train."""
-    runs = []
+def stability(examples: DataFrame, reviewed: DataFrame, c: float, seeds: tuple[int, ...] = (42, 7, 1, 3, 11), counts: DataFrame | None = None,
+              known: tuple[float, ...] = ()) -> tuple[float, float]:
+    """Mean and deviation of the accuracy over several seeded splits; reviewed examples always train. ``known``:
+    accuracies of splits that were measured already."""
+    runs = list(known)
     for seed in seeds:
         parts = cut_lineage(split_examples(examples, seed))
-        model = train_sheet_model(parts.filter("in_train").drop("in_train").unionByName(reviewed), c)
-        runs.append(accuracy(model, parts.filter("NOT in_train")))
+        model = train_sheet_model(parts.filter("in_train").drop("in_train").unionByName(reviewed), c, counts)
+        runs.append(accuracy(model, parts.filter("NOT in_train"), counts=counts))
     mean = sum(runs) / len(runs)
     return mean, (sum((r - mean) ** 2 for r in runs) / len(runs)) ** 0.5
 
@@ -194,10 +202,12 @@ def evaluate(scored: DataFrame) -> DataFrame:
 
 
 def band_report(scored: DataFrame) -> DataFrame:
-    """Share and accuracy of every confidence band."""
-    total = F.sum("count").over(Window.partitionBy())
+    """Share and accuracy of every confidence band; a band without rows has the count 0 and no accuracy."""
+    names = scored.sparkSession.createDataFrame([("Alta",), ("Média",), ("Baixa",)], "band string")
     bands = scored.groupBy(F.col("faixa").alias("band")).agg(F.count(F.lit(1)).alias("count"), F.count_if(F.col("classe") == F.col("cls")).alias("hits"))
-    return bands.select("band", "count", calc.percent_1(F.col("count"), total).alias("share"), calc.percent_1("hits", "count").alias("accuracy"))
+    bands = bands.join(names, "band", "full").fillna(0, ["count", "hits"])
+    total = F.sum("count").over(Window.partitionBy())
+    return bands.select("band", "count", calc.percent_1(F.col("count"), total).alias("share"), F.when(F.col("count") > 0, calc.percent_1("hits", "count")).alias("accuracy"))
 
 
 def first_errors(scored: DataFrame, n: int = 12) -> DataFrame:

@@ -2,14 +2,19 @@
 
 from pyspark.sql import functions as F
 
+from stoplens.operators import items as it
 from stoplens.operators import log_tables as lt
 from stoplens.operators import models as ml
+from stoplens.operators import sheet_model as sm
 from stoplens.operators import training as tr
 from stoplens.functions import calc, text
 from stoplens.plans import fixtures as fx
 from stoplens.plans.fixtures import with_tables
-from stoplens.plans.queries_flow import B13, B14, FLOW, flow_items, noted, O
+from stoplens.plans.queries_flow import B13, B14, FLOW, decisions, flow_items, noted, O
+from stoplens.plans.queries_log_tables import LANES
+from stoplens.plans.queries_reliability import reviewed_events
 from stoplens.plans.registry import query
+from stoplens.session import staged
 
 LABEL = """CASE WHEN id % 97 = 0 THEN 'Sem detalhes' WHEN id % 12 IN (0, 2) THEN CASE WHEN id % 11 = 0 THEN 'Rolamentos quebrados' ELSE 'Rolamento quebrado' END
  WHEN id % 12 = 3 THEN 'Mancal' WHEN id % 12 = 1 THEN CASE WHEN id % 31 = 0 THEN 'Correia rompida' ELSE 'Sensor danificado' END
@@ -175,3 +180,41 @@ def l14_nearest_details(spark, folder):
     train, held = parts.filter("in_train"), parts.filter("NOT in_train")
     model = ml.TextModel(ml.fit_idf(ml.feature_counts(train, 2)), None, [], 2, 0)
     return ml.nearest_details(model, held.select("text", "cls"), train)
+
+
+# ---- the sheet model as one operator ------------------------------------------------------------------------------------
+
+SAID = f"""said AS (SELECT DISTINCT norm AS relato_norm, 'falha de  mancal' AS classe, CASE WHEN length(norm) % 2 = 0 THEN 'folga' ELSE '' END AS detalhe
+ FROM (SELECT {B13.format(x=O)} AS norm FROM noted) x WHERE length(norm) % 5 = 0 AND norm <> '')"""
+
+
+def said(spark, folder):
+    """What an analyst answered about some of the notes."""
+    norm = noted(fx.stops(spark, folder)).select(text.model_text(O).alias("relato_norm")).distinct().filter("length(relato_norm) % 5 = 0 AND relato_norm <> ''")
+    return norm.select(F.col("relato_norm").alias("relato"), "relato_norm", F.lit("falha de  mancal").alias("classe"),
+                       F.when(F.length("relato_norm") % 2 == 0, "folga").otherwise("").alias("detalhe"))
+
+
+@query("l20_training_fingerprint", LAB + ", " + SAID + """, h1 AS (SELECT sha256(concat_ws(chr(31), '=' || trim(observacao_raw), '=' || trim(label))) AS h FROM noted JOIN lab USING (id)),
+ h2 AS (SELECT sha256(concat_ws(chr(31), '=' || trim(relato_norm), '=' || trim(classe), '=' || trim(detalhe))) AS h FROM said)
+ SELECT sha256((SELECT sha256(concat_ws('|', CAST(count(*) AS VARCHAR), """ + LANES + """)) FROM h1) || '|' || (SELECT sha256(concat_ws('|', CAST(count(*) AS VARCHAR), """ + LANES + """)) FROM h2)) AS fingerprint""")
+def l20_training_fingerprint(spark, folder):
+    return spark.range(1).select(F.lit(sm.training_fingerprint(labelled(spark, folder), said(spark, folder))).alias("fingerprint"))
+
+
+@query("l15_analyst_answers", LAB + ", " + SAID + " SELECT relato_norm AS text, 'FALHA DE MANCAL' AS classe, detalhe FROM said")
+def l15_analyst_answers(spark, folder):
+    return sm.analyst_answers(said(spark, folder))
+
+
+@query("l15_sheet_flow")
+def l15_sheet_flow(spark, folder):
+    """Training, items with predictions, review and failure summary of the single flow, one after the other: notes keep
+    the analyst's answers, the others take the model's class with its detail and percent (model output: tests)."""
+    trained = sm.train(labelled(spark, folder), said(spark, folder), other_seeds=())
+    stops = staged(it.with_item_key(noted(reviewed_events(spark, folder).drop("failure_class", "failure_mode", "group_id"))), "flow-stops")
+    keys = stops.select(F.col("ml_key").alias("text"))
+    predictions = staged(sm.predict(trained, keys).withColumnRenamed("text", "ml_key").drop("top3"), "flow-predictions")
+    rows = it.items(stops, predictions)
+    reviewed = it.reviewed_items(rows, decisions(rows))[0]
+    return it.failure_summary(it.with_item_class(stops, reviewed))
