@@ -1,10 +1,10 @@
 """Text models on Spark ML (L7-L15, L18-L20): hashed n-gram features, training, scoring, evaluation, nearest detail.
 
 Nothing whole passes the driver: features are hashed (2^17 slots, so the idf table has a fixed bound), the solvers
-aggregate gradients on the executors, and only class names and coefficients come back.
+aggregate gradients on the executors over the slots that occur, and only class names and coefficients come back.
 """
 
-from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from stoplens import fixed_values as fv
 from stoplens.functions import calc, text
+from stoplens.operators import linear
 from stoplens.operators.grouping import dot
 from stoplens.operators.skew import lookup_join, running_total
 from stoplens.session import cut_lineage, shuffle_partitions
@@ -60,23 +61,31 @@ def feature_counts(rows: DataFrame, shortest: int = 1) -> DataFrame:
 
 
 def fit_idf(counts: DataFrame) -> DataFrame:
-    """idf = ln((1 + n) / (1 + df)) + 1 per slot: at most 2^17 rows, written once."""
+    """idf = ln((1 + n) / (1 + df)) + 1 per slot, and the slot's ``place`` among those that occur: at most 2^17 rows,
+    written once."""
     total = counts.agg(F.countDistinct("digest").alias("n"))
     df = counts.groupBy("slot").agg(F.count(F.lit(1)).alias("df"))
-    return cut_lineage(df.join(F.broadcast(total)).select("slot", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")))
+    place = F.row_number().over(Window.orderBy("slot")) - 1
+    return cut_lineage(df.join(F.broadcast(total)).select("slot", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"), place.alias("place")))
 
 
 def weights(counts: DataFrame, idf: DataFrame) -> DataFrame:
     """tf * idf, each block of a text scaled to length one; slots unseen in training are dropped."""
-    raw = counts.join(F.broadcast(idf), "slot").withColumn("raw", F.col("tf") * F.col("idf"))
+    raw = counts.join(F.broadcast(idf.select("slot", "idf")), "slot").withColumn("raw", F.col("tf") * F.col("idf"))
     block = Window.partitionBy("digest", F.col("slot") >= BLOCK)
     return raw.select("digest", "slot", (F.col("raw") / F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(block))).alias("w"))
 
 
-def vectors(weighed: DataFrame) -> DataFrame:
-    size = 2 * BLOCK
-    build = F.udf(lambda entries: Vectors.sparse(size, [(e[0], e[1]) for e in entries]), VectorUDT())
-    return weighed.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("slot", "w"))).alias("e")).select("digest", build("e").alias("features"))
+def entries(weighed: DataFrame, idf: DataFrame) -> DataFrame:
+    """(digest, entries): the weights of a text by the place of their slots in the idf table."""
+    placed = weighed.join(F.broadcast(idf.select("slot", "place")), "slot")
+    return placed.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("place", "w"))).alias("entries"))
+
+
+def vectors(weighed: DataFrame, idf: DataFrame, size: int) -> DataFrame:
+    """Sparse vectors over the ``size`` slots of the idf table, so that solvers hold no coefficient that no text has."""
+    build = F.udf(lambda held: Vectors.sparse(size, [(e[0], e[1]) for e in held]), VectorUDT())
+    return entries(weighed, idf).select("digest", build("entries").alias("features"))
 
 
 class TextModel:
@@ -88,15 +97,14 @@ class TextModel:
     def features(self, texts: DataFrame, counts: DataFrame | None = None) -> DataFrame:
         """Vectors of the texts; ``counts`` holds their feature counts already, maybe among others'."""
         own = feature_counts(texts, self.shortest) if counts is None else counts.join(texts.select(digest().alias("digest")).distinct(), "digest", "left_semi")
-        return vectors(weights(own, self.idf))
+        return vectors(weights(own, self.idf), self.idf, self.model.numFeatures)
 
     def score(self, texts: DataFrame, temperature: float | None = None, counts: DataFrame | None = None) -> DataFrame:
         """(digest, probabilities): the model's own, or the softmax of margins / temperature."""
         scored = self.model.transform(self.features(texts, counts))
         if temperature is None:
             return scored.select("digest", vector_to_array("probability").alias("p"))
-        raw = vector_to_array("rawPrediction") if "rawPrediction" in scored.columns else vector_to_array(self.model.getRawPredictionCol())
-        return scored.select("digest", softmax(raw, temperature).alias("p"))
+        return scored.select("digest", softmax(vector_to_array("rawPrediction"), temperature).alias("p"))
 
     def predict(self, texts: DataFrame, temperature: float | None = None, counts: DataFrame | None = None) -> DataFrame:
         """Class, confidence, band and the three likeliest classes of every distinct text."""
@@ -109,6 +117,17 @@ class TextModel:
         return named.join(top, "digest").select("text", best["classe"].alias("classe"), best["confianca"].alias("confianca"), calc.band(best["confianca"]).alias("faixa"), "top3")
 
 
+class SheetTextModel(TextModel):
+    """One-vs-rest linear SVM; ``model`` holds the weights (classes, slots + 1)."""
+
+    def score(self, texts: DataFrame, temperature: float | None = None, counts: DataFrame | None = None) -> DataFrame:
+        own = feature_counts(texts, self.shortest) if counts is None else counts.join(texts.select(digest().alias("digest")).distinct(), "digest", "left_semi")
+        rows = entries(weights(own, self.idf), self.idf)
+        rows = texts.select(digest().alias("digest")).distinct().join(rows, "digest", "left")  # a text without known slots has the constant terms
+        rows = rows.withColumn("entries", F.coalesce("entries", F.array().cast("array<struct<place:int,w:double>>")))
+        return linear.score_svm(rows, self.model).select("digest", softmax(F.col("margins"), temperature or fv.SOFTMAX_TEMPERATURE).alias("p"))
+
+
 def softmax(scores: Column, temperature: float = fv.SOFTMAX_TEMPERATURE) -> Column:
     """L10."""
     raised = F.transform(scores, lambda s: F.exp((s - F.array_max(scores)) / temperature))
@@ -124,7 +143,7 @@ def _fit(examples: DataFrame, solver, shortest: int, count: int, counts: DataFra
         counts = cut_lineage(counts.join(examples.select(digest().alias("digest")).distinct(), "digest", "left_semi"))
     idf = fit_idf(counts)
     indexer = StringIndexer(inputCol="label", outputCol="index", stringOrderType="alphabetAsc").fit(examples)
-    data = cut_lineage(indexer.transform(examples.withColumn("digest", digest())).join(vectors(weights(counts, idf)), "digest").select("features", "index", "weight"))
+    data = cut_lineage(indexer.transform(examples.withColumn("digest", digest())).join(vectors(weights(counts, idf), idf, idf.count()), "digest").select("features", "index", "weight"))
     return TextModel(idf, solver.fit(data), list(indexer.labels), shortest, count)
 
 
@@ -146,13 +165,17 @@ def train_board_model(examples: DataFrame) -> TextModel | None:
 
 
 def train_sheet_model(examples: DataFrame, c: float = 1.0, counts: DataFrame | None = None) -> TextModel:
-    """One-vs-rest linear SVM over words of 2+ letters; ``c`` is the inverse regularisation, ``counts`` feature counts
-    that hold the examples'."""
-    rows = examples.select("text", F.col("cls").alias("label"), F.col("weight").cast("double").alias("weight"))
-    size = rows.count()
-    svm = LinearSVC(featuresCol="features", labelCol="index", weightCol="weight", regParam=1.0 / (c * size), maxIter=20)
-    solver = OneVsRest(classifier=svm, featuresCol="features", labelCol="index", weightCol="weight", rawPredictionCol="rawPrediction", parallelism=4)
-    return _fit(rows, solver, 2, size, counts)
+    """One-vs-rest linear SVM over words of 2+ letters; ``c`` weighs the losses against the length of the weights,
+    ``counts``: feature counts that hold the examples'."""
+    rows = examples.select("text", F.col("cls").alias("label"), F.col("weight").cast("double").alias("weight"), digest().alias("digest"))
+    own = feature_counts(examples, 2) if counts is None else counts.join(rows.select("digest").distinct(), "digest", "left_semi")
+    own = cut_lineage(own)
+    idf = fit_idf(own)
+    labels = sorted(r["label"] for r in rows.select("label").distinct().collect())
+    index = F.array_position(F.array(*[F.lit(n) for n in labels]), F.col("label")) - 1
+    data = rows.join(entries(weights(own, idf), idf), "digest").select("entries", index.cast("int").alias("index"), "weight")
+    data = cut_lineage(data)
+    return SheetTextModel(idf, linear.fit_svm(data, len(labels), idf.count(), c), labels, 2, data.count())
 
 
 def split_examples(examples: DataFrame, seed: int, share: float = 0.8, key: str = "text") -> DataFrame:
