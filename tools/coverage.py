@@ -10,13 +10,13 @@ from stoplens.plans.all_queries import ORACLES, QUERIES  # noqa: E402
 
 HOMES = {
     "A1": "sources.landed.find_headers", "A2": "sources.landed.find_headers", "A3": "sources.landed.validated", "A4": "sources.landed.read_legacy",
-    "A5": "sources.landed.read_labelled", "A6": "sources.sinks.append_batches", "A7": "sources.sinks.not_loaded", "A8": "sources.sinks.replace_by_analysis",
-    "B35": "sources.landed.layout_of", "J6": "operators.grouping.assign_groups", "J7": "operators.grouping.group_similarity", "J8": "functions.text.title_case",
-    "K2": "operators.classify.explain", "K3": "operators.classify.explain", "K4": "functions.tokens.repair_catalog_words", "K5": "operators.classify.explain",
+    "A5": "sources.landed.read_labelled", "A6": "sources.sinks.append_batches", "A7": "sources.sinks.insert_analyses", "A8": "sources.sinks.replace_summaries",
+    "B35": "sources.landed.layout_of", "J6": "operators.grouping.grouped_texts", "J7": "operators.grouping.group_similarity", "J8": "functions.text.title_case",
+    "K2": "operators.classify.explain", "K3": "operators.classify.explain", "K4": "operators.words.catalog_repair", "B7": "operators.words.note_repair", "K9": "operators.frozen.frozen_classes", "K5": "operators.classify.explain",
     "K7": "operators.classify._manifestation", "K12": "operators.classify.test_catalog", "D6": "operators.log_tables.import_audit", "D9": "operators.compare.compare_periods",
     "D14": "operators.classify.explain", "G1": "every table's order keys", "G8": "operators.log_tables.last_n", "H3": "operators.training.board_examples",
-    "L3": "operators.training.prepare", "L7": "operators.models.feature_counts", "L9": "operators.models.train_sheet_model", "L17": "operators.classify.card_votes",
-    "L20": "functions.calc.content_hash", "M2": "operators.review.fold_actions", "M3": "operators.review.fold_actions", "M4": "operators.review.fold_actions",
+    "L3": "operators.training.prepare", "L7": "operators.models.feature_counts", "L9": "operators.models.train_sheet_model", "L17": "operators.frozen.snapshot_suggestions", "L15": "operators.sheet_model.predict",
+    "L20": "operators.sheet_model.training_fingerprint", "M2": "operators.review.fold_actions", "M3": "operators.review.fold_actions", "M4": "operators.review.fold_actions",
     "M5": "operators.review.current_members", "M6": "operators.review.split_children", "M7": "operators.review.fold_actions",
     "P1": "streaming.ingest.start_ingest", "P2": "streaming.daily.daily_by_machine",
 }
