@@ -1,14 +1,15 @@
-"""Registered queries: landed files, written from the stops to the shared folder and read back."""
+"""Registered queries: landed files, written from the stops to the shared folder and read back; staged writes."""
 
 from uuid import uuid4
 
 from pyspark.sql import functions as F
 
+from stoplens.operators import log_tables as lt
 from stoplens.plans import fixtures as fx
 from stoplens.plans.fixtures import with_tables
 from stoplens.plans.registry import query
 from stoplens.session import shared_folder
-from stoplens.sources import landed
+from stoplens.sources import landed, sinks, versions
 
 TITLES = {"Unidade": "centro", "Data": "data", "Linha": "linha", "Equipamento": "equipamento", "Tipo de falha": "tipo_parada", "Ordem": "numero",
           "Observações": "nota", "Minutos de parada": "minutos"}
@@ -55,3 +56,42 @@ def a05_labelled_notes(spark, folder):
         header=True, sep=",", quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, emptyValue="").csv(path)
     rows, _ = landed.read_labelled(spark, [path])
     return rows.groupBy(F.trim("note", F.lit(" \n")).alias("note"), "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- writes that become visible with their commit ------------------------------------------------------------------------
+
+def home(spark, name):
+    return f"{shared_folder(spark)}/{name}-{uuid4().hex}"
+
+
+@query("a06_appended_batches", with_tables("stops batches", """SELECT b.id, b.content_hash, CAST(count(s.id) AS BIGINT) AS stops FROM batches b JOIN stops s ON s.upload_batch_id = b.id
+ WHERE b.content_hash IS NULL OR b.id = (SELECT min(id) FROM batches f WHERE f.content_hash = b.content_hash) GROUP BY 1, 2"""))
+def a06_appended_batches(spark, folder):
+    """Batches in two loads, the second with all of them again: copies of a content load once, stops appear with their batch."""
+    place = home(spark, "batches")
+    batches = fx.batches(spark, folder).withColumn("file_hash", F.col("filename"))
+    stops = fx.stops(spark, folder).select("id", "upload_batch_id")
+    sinks.append_batches(batches.where("id < 2"), stops, place, "first-load")
+    sinks.append_batches(batches, stops, place, "second-load")
+    held = versions.live(spark, place, "stops").groupBy(F.col("upload_batch_id").alias("id")).agg(F.count(F.lit(1)).alias("stops"))
+    return versions.live(spark, place, "batches").join(held, "id").select("id", "content_hash", "stops")
+
+
+SUMMARY = "SELECT analysis_id, tipo_parada AS classe, count(*) AS linhas FROM {stops} GROUP BY analysis_id, tipo_parada"
+
+
+@query("a08_replaced_summaries", with_tables("stops", f"SELECT analysis_id, classe, CASE analysis_id WHEN '2' THEN linhas * 10 ELSE linhas END AS linhas FROM ({SUMMARY.format(stops='stops')}) s WHERE analysis_id <> '1'"))
+def a08_replaced_summaries(spark, folder):
+    """All summaries written; then that of one analysis replaced by other rows and that of another by nothing."""
+    place = home(spark, "summaries")
+    first = spark.sql(SUMMARY, stops=fx.stops(spark, folder))
+    sinks.replace_summaries(first, first.select("analysis_id"), place, "all")
+    again = first.where("analysis_id = '2'").withColumn("linhas", F.col("linhas") * 10)
+    sinks.replace_summaries(again, spark.createDataFrame([("1",), ("2",)], "analysis_id string"), place, "again")
+    return sinks.summaries(spark, place).select("analysis_id", "classe", "linhas")
+
+
+@query("g08_newest_stops", with_tables("stops", "SELECT id, data_inicio FROM stops ORDER BY data_inicio DESC, id DESC LIMIT 100"))
+def g08_newest_stops(spark, folder):
+    """The newest 100 points of a history: the limit is the operator."""
+    return lt.last_n(fx.stops(spark, folder).select("id", "data_inicio"), [F.desc("data_inicio"), F.desc("id")], 100)

@@ -89,6 +89,13 @@ def k06_reasons_and_details(spark, folder):
     return cl.classify(fx.stops(spark, folder)).select("id", "detail", "reason")
 
 
+@query("k12_catalog_test", CLASSES.replace("equipamento AS mach FROM stops", "'ENCHEDORA' AS mach FROM stops", 1) + """ SELECT DISTINCT observacao_raw, label, confidence FROM stops JOIN classed USING (id)""")
+def k12_catalog_test(spark, folder):
+    """Every different note as a trial text for one machine."""
+    tried = cl.test_catalog(fx.stops(spark, folder).select(O).distinct(), "ENCHEDORA", Catalog())
+    return tried.select(O, "label", "confidence")
+
+
 def corrections(stops):
     said = F.when(F.col("id") % 10 != 9, F.concat(F.lit("FALHA "), (F.floor(F.col("id") / 40) % 3).cast("string")))
     return stops.select(text.memory_key(O).alias("note_key"), F.col("id").alias("seq"), said.alias("label"))
