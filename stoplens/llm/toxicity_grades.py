@@ -9,13 +9,14 @@ smallest hash of their id, weighted back to the grades' shares among all labels.
 texts. A feature counts once per document.
 
 Null and empty texts have no words and the score 0; labels that repeat count with their highest grade; null labels are
-skipped; documents without label are scored like others; without labels of at least two grades there is nothing to
-learn and the fit fails with a ValueError; empty tables of documents give empty tables; extra columns pass through
-unless they carry the name of an output column, which then wins.
+skipped; documents without label are scored like others; where the labelled documents have fewer than two grades there
+is nothing to learn: a warning says so and every document gets score 0 and grade 0; empty tables of documents give empty
+tables; extra columns pass through unless they carry the name of an output column, which then wins.
 """
 
 import re
-from dataclasses import dataclass
+import warnings
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,7 @@ WORDS = 2000  # vocabulary: the features whose shares among grades differ most
 LEAST_DOCS = 5  # documents of the sample that must hold a feature
 LASSO = 5e-4  # a weight stays zero while it moves the mean log-likelihood by less per unit
 ROUNDS = 400
+NEVER = 50.0  # threshold that leaves no chance above it at score 0
 WORD_PATTERN = r"[^\W\d_]+"
 STEMS = (4, 5, 6)  # letters of the word starts that are features too, so that inflected forms share a weight
 words_in = re.compile(WORD_PATTERN).findall
@@ -64,6 +66,7 @@ def severity_grade(quality: Column, toxic: Column) -> Column:
 class OrdinalModel:
     weights: dict[str, float]
     thresholds: list[float]
+    sample: dict[int, int] = field(default_factory=dict)  # documents that each grade was learned from
 
     def below(self, score: np.ndarray) -> np.ndarray:
         """P(grade <= k) for each threshold k, one row per score."""
@@ -104,8 +107,8 @@ def fit_ordinal(rows: list[list[int]], grades: np.ndarray, weight: np.ndarray, n
 
 
 def labelled_sample(docs: DataFrame, grades: DataFrame, n_grades: int, id: str, text: str, per_grade: int) -> DataFrame:
-    """(grade, words): the features of at most ``per_grade`` documents of each grade. Copies count once: of texts
-    with the same longest word (of 12 letters or more; else of equal texts) one stays, by text hash."""
+    """(grade, words): the features of at most ``per_grade`` documents of each grade. Texts of one grade that are the same
+    words in the same order, whatever their case and signs, count once; texts of different grades never stand for each other."""
     order = F.xxhash64(F.col("_id"))
     chosen = None
     for grade in range(n_grades):
@@ -113,9 +116,8 @@ def labelled_sample(docs: DataFrame, grades: DataFrame, n_grades: int, id: str,
         chosen = part if chosen is None else chosen.unionByName(part)
     # at most n_grades * per_grade ids
     found = docs.select(F.col(id).alias("_id"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("text")).join(F.broadcast(chosen), "_id")
-    words = F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))
-    longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
-    key = F.when(longest["n"] >= 12, F.xxhash64(longest["w"])).otherwise(F.xxhash64("text"))
+    words = F.array_join(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0)), " ")
+    key = F.struct("grade", F.sha2(words, 256))
     one = found.groupBy(key.alias("key")).agg(F.min(F.struct(F.xxhash64("text").alias("h"), "grade", "text")).alias("one")).select("one.grade", "one.text")
     return one.mapInArrow(in_tasks(__name__, "feature_batches"), "grade int, words array<string>")
 
@@ -128,10 +130,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: s
     grades = labels.select(F.col(id).alias("_id"), value.cast("int").alias("grade")).where("_id is not null and grade is not null")\
         .groupBy("_id").agg(F.max("grade").alias("grade"))
     totals = {r["grade"]: r["n"] for r in grades.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(totals) < 2:
-        raise ValueError("labels of at least two grades are needed")
     sample = written(labelled_sample(docs, grades, n_grades, id, text, per_grade), "labelled-sample")
     sizes = {r["grade"]: r["n"] for r in sample.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(sizes) < 2:
+        warnings.warn("labels of at least two grades are needed: every document gets grade 0", stacklevel=2)
+        return OrdinalModel({}, [NEVER] * (n_grades - 1), sizes)
     bad, good = sum(n for g, n in sizes.items() if g), sizes.get(0, 0)
     counts = sample.select("grade", F.explode("words").alias("word")).groupBy("word").agg(
         F.sum(F.when(F.col("grade") > 0, 1).otherwise(0)).alias("bad"), F.sum(F.when(F.col("grade") == 0, 1).otherwise(0)).alias("good"))
@@ -143,7 +146,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: s
     rows, own = [[place[w] for w in r["words"]] for r in numbered], np.array([r["grade"] for r in numbered], np.int64)
     weight = np.array([totals[g] / sizes[g] for g in own.tolist()])
     weights, cuts = fit_ordinal(rows, own, weight, len(vocabulary), n_grades)
-    return OrdinalModel({w: float(weights[i]) for w, i in place.items() if weights[i]}, [float(c) for c in cuts])
+    return OrdinalModel({w: float(weights[i]) for w, i in place.items() if weights[i]}, [float(c) for c in cuts], sizes)
 
 
 def score_batches(batches, weights: dict[str, float]):

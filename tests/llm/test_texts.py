@@ -134,5 +134,49 @@ def test_toxicity_learns_words_and_starts(frame):
     held = [r for r in scored if r.doc_id is not None and r.doc_id >= 600]
     assert np.mean([r.toxic == (r.doc_id % 9 == 0) for r in held]) > 0.97
     assert all(abs(sum(r.grade_chances) - 1) < 1e-9 and 0 <= r.severity <= 2 for r in scored)
-    with pytest.raises(ValueError):
-        T.fit_toxicity(docs, known.where(F.col("toxic") == 0))
+
+
+def test_toxicity_without_two_grades_leaves_every_document_clean(frame):
+    docs = frame([(1, "a vile word", 1, "x"), (1, "a vile word", 1, "x"), (2, "", 1, "x"), (None, None, None, None)], DOCS)
+    for labels in ([], [(1, 1, 1)], [(1, 1, 0), (2, 0, 0)], [(1, 1, 0), (77, 0, 1)], [(None, 1, 1), (1, None, None)]):
+        with pytest.warns(UserWarning, match="two grades"):
+            fitted = T.fit_toxicity(docs, frame(labels, "doc_id long, quality int, toxic int"))
+        scored = T.score_toxicity(docs, fitted).collect()
+        assert len(scored) == 4 and all((r.score, r.severity, r.toxic, r.grade_chances[0]) == (0.0, 0.0, False, 1.0) for r in scored)
+
+
+def test_toxicity_sample_drops_copies_within_a_grade_only(frame):
+    long = "incomprehensibilities"
+    texts = [(f"{long} a{'b' * i}", i % 2) for i in range(20)] + [(f"{long.upper()} AB!", 1), (f"{long}, ab", 1), (f"{long} ab", 0)]
+    docs = frame([(i, t, 1, "x") for i, (t, _) in enumerate(texts)], DOCS)
+    grades = frame([(i, g) for i, (_, g) in enumerate(texts)], "_id long, grade int")
+    sizes = {r.grade: r["count"] for r in T.labelled_sample(docs, grades, 2, "doc_id", "text", 100).groupBy("grade").count().collect()}
+    assert sizes == {0: 11, 1: 10}
+    few = T.labelled_sample(docs, grades, 2, "doc_id", "text", 3).groupBy("grade").count().collect()
+    assert all(r["count"] <= 3 for r in few)
+
+
+def likelihood(values, rows, grades, weight, n_words, n_grades):
+    """Weighted mean log-likelihood by the definition, a document at a time."""
+    cuts = [-np.inf, *(values[n_words] + np.concatenate([[0.0], np.cumsum(np.exp(values[n_words + 1:]))])), np.inf]
+    below = lambda c, s: 1 / (1 + np.exp(-(c - s)))
+    return sum(w * np.log(below(cuts[g + 1], s) - below(cuts[g], s)) for r, g, w in zip(rows, grades, weight / weight.sum(), strict=True)
+               for s in [sum(values[i] for i in r)])
+
+
+def test_ordinal_fit_reaches_the_maximum_of_the_likelihood():
+    rng = np.random.default_rng(4)
+    rows = [sorted(rng.choice(5, rng.integers(0, 4), replace=False).tolist()) for _ in range(400)]
+    push = np.array([1.5, -1.0, 0.7, 0.0, 2.0])
+    grades = np.digitize([push[r].sum() + rng.logistic() for r in rows], [0.5, 2.0])
+    weight = rng.uniform(0.5, 2, 400)
+    weights, cuts = T.fit_ordinal(rows, grades, weight, 5, 3, lasso=0.0, rounds=3000)
+    best = np.concatenate([weights, cuts[:1], np.log(np.diff(cuts))])
+    at = likelihood(best, rows, grades, weight, 5, 3)
+    for i in range(len(best)):
+        step = np.zeros(len(best))
+        step[i] = 1e-4
+        slope = (likelihood(best + step, rows, grades, weight, 5, 3) - likelihood(best - step, rows, grades, weight, 5, 3)) / 2e-4
+        assert abs(slope) < 3e-3 or weights[i:i + 1].tolist() == [0.0]
+    assert all(likelihood(best + rng.normal(0, 0.3, len(best)), rows, grades, weight, 5, 3) < at for _ in range(30))
+    assert np.abs(weights - push).max() < 0.6
