@@ -1,5 +1,6 @@
 """Secret scan and quality ledger against plain Python."""
 
+import math
 import re
 
 import numpy as np
@@ -41,6 +42,95 @@ def test_random_strings_are_found_and_words_are_not(frame):
     assert not any(t in r.text for r in clean for t in texts) and all(w in " ".join(r.text for r in clean) for w in words)
 
 
+def evidence(token):
+    """Encoding, stratum, and -log10 of the p-value of a candidate, from the definitions."""
+    name, alphabet, _, letters = next(e for e in S.ENCODINGS if re.fullmatch(e[2], token))
+    bare = token.rstrip("=")
+    at, n, k = [alphabet.index(c) for c in bare], len(bare), len(alphabet)
+    unit = [(i - (k - 1) / 2) / math.sqrt((k * k - 1) / 12) for i in at]
+    chi = sum((at.count(i) - n / k) ** 2 / (n / k) for i in range(k))
+    changes = sum((a >= k / 2) != (b >= k / 2) for a, b in zip(at, at[1:], strict=False))
+    serial = sum(a * b for a, b in zip(unit, unit[1:], strict=False))
+    nu = (k - 1) * n / (n - 1)
+    uniform = [((chi / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * nu))) / math.sqrt(2 / (9 * nu)), (changes - (n - 1) / 2) / math.sqrt((n - 1) / 4), serial / math.sqrt(n - 1)]
+    m = S._text_moments(alphabet, letters)
+    text = [(k + k * (n - 1) * m["s2"] - n - chi) / math.sqrt(2 * k * k * m["s2"] * (1 - m["s2"]) + 4 * k * k * (n - 1) * m["spread"]),
+            (changes - (n - 1) * m["change"]) / math.sqrt((n - 1) * max(m["change"] * (1 - m["change"]), 1 / n)),
+            ((n - 1) * m["mean2"] - serial) / math.sqrt((n - 1) * m["pair_var"] + (n - 2) * m["next_var"])]
+    z = sum(text) / math.sqrt(3 + 6 * S.DEPENDENCE)
+    z = max(z, text[0])
+    combined = (z * z / 2 / math.log(10) + math.log10(2)) if z > 0 else 0.0
+    kind = ["d" if c in S.DIGITS else "l" if c.isalpha() else "s" for c in bare]
+    q = sum({a, b} == {"d", "l"} for a, b in zip(kind, kind[1:], strict=False)) / (n - 1)
+    part = lambda a, b: a * math.log(a / b) if a else 0.0
+    mixed = (n - 1) * (part(q, S.MIXED) + part(1 - q, 1 - S.MIXED)) / math.log(10) if q > S.MIXED else 0.0
+    stratum = max(i for i, least in enumerate(S.LENGTHS) if n >= least or i == 0)
+    return name, f"{name}/{stratum}", max(max(combined, mixed) - math.log10(3), 0.0) if all(abs(u) < S.REJECT for u in uniform) else 0.0
+
+
+def step_up(tests, rate):
+    """Least step that counts, by stratum: the largest rank whose p-value is small enough, a candidate at a time."""
+    out = {}
+    for stratum in {s for s, _ in tests}:
+        p = sorted(10 ** (-step / S.STEPS) for s, step in tests if s == stratum)
+        passing = [i for i in range(1, len(p) + 1) if p[i - 1] <= rate * i / len(p)]
+        if passing:
+            out[stratum] = min(step for s, step in tests if s == stratum and 10 ** (-step / S.STEPS) <= p[max(passing) - 1] * (1 + 1e-9))
+    return out
+
+
+ALPHABETS = {"hex_upper": "0123456789ABCDEF", "base32": S.UPPER + "234567", "base36": S.DIGITS + S.LOWER, "base62": S.DIGITS + S.UPPER + S.LOWER,
+             "base64": S.UPPER + S.LOWER + S.DIGITS + "+/", "base64_url": S.UPPER + S.LOWER + S.DIGITS + "-_"}
+
+
+def planted(rng, lengths, n):
+    return [(kind, size, "".join(rng.choice(list(symbols), size))) for kind, symbols in ALPHABETS.items() for size in lengths for _ in range(n)]
+
+
+def test_battery_and_step_up_match_the_definitions(frame):
+    rng = np.random.default_rng(11)
+    tokens = [t for _, _, t in planted(rng, (20, 33, 64, 140), 4)] + ["".join(rng.choice(list(S.LOWER), 30, p=np.array(S.LETTERS) / sum(S.LETTERS))) for _ in range(40)]
+    tokens += ["A" * 40, "a1" * 15, "/usr/share/lib/python3/distpackages", "2024-01-15_report_final_version", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "MZXW6YTBOI" * 3 + "==", "/" * 25]
+    docs = frame([(i, f"x {t} y", None, 1) for i, t in enumerate(tokens)], DOCS)
+    got = {r.doc_id: r.c[0].test for r in docs.select("doc_id", S.candidates(F.col("text")).alias("c")).collect()}
+    tests = []
+    for i, token in enumerate(tokens):
+        name, stratum, amount = evidence(token)
+        assert (got[i].encoding, got[i].stratum) == (name, stratum), token
+        assert abs(got[i].step - min(amount * S.STEPS, S.TOP)) <= 1 + 1e-6 and got[i].step <= amount * S.STEPS + 1e-6, token
+        tests.append((stratum, got[i].step))
+    assert S.discovery_steps(docs) == step_up(tests, S.RATE)
+
+
+def test_text_moments_are_those_of_drawn_text():
+    rng = np.random.default_rng(2)
+    for _, alphabet, _, letters in S.ENCODINGS:
+        if letters == S.DIGITS:
+            continue
+        m, n, k = S._text_moments(alphabet, letters), 50, len(alphabet)
+        drawn = rng.choice([alphabet.index(c) for c in letters], (20000, n), p=np.array(S.LETTERS) / sum(S.LETTERS))
+        unit = (drawn - (k - 1) / 2) / math.sqrt((k * k - 1) / 12)
+        serial = (unit[:, 1:] * unit[:, :-1]).sum(1)
+        chi = np.array([k / n * (np.bincount(d, minlength=k) ** 2).sum() - n for d in drawn])
+        high = drawn >= k / 2
+        assert abs(chi.mean() / (k + k * (n - 1) * m["s2"] - n) - 1) < 0.02
+        assert abs((high[:, 1:] != high[:, :-1]).sum(1).mean() - (n - 1) * m["change"]) < 0.2
+        assert abs(serial.mean() - (n - 1) * m["mean2"]) < 0.02 * n and abs(serial.std() / math.sqrt((n - 1) * m["pair_var"] + (n - 2) * m["next_var"]) - 1) < 0.05
+
+
+def test_strings_of_every_encoding_are_found_among_words(frame):
+    rng = np.random.default_rng(7)
+    keys = planted(rng, (48, 64), 30)
+    words = ["".join(rng.choice(["the", "on", "er", "tion", "in", "and"], 9)) for _ in range(300)]
+    words += [f"Report{y}FinalVersionOfThe{w}" for y in range(1990, 2020) for w in ("Board", "Quarter")] + ["-".join(rng.choice(["open", "shop", "river", "2019"], 7)) for _ in range(60)]
+    rows = [(i, f"see {k[2]} here", None, None) for i, k in enumerate(keys)] + [(10000 + i, f"and {w} there", None, None) for i, w in enumerate(words)]
+    found = {r.text[s.start:s.end] for r in S.secret_spans(frame(rows, DOCS)).collect() for s in r.secrets}
+    for kind in ALPHABETS:
+        own = {t for k, _, t in keys if k == kind}
+        assert len(own & found) >= 0.9 * len(own), (kind, len(own & found), len(own))
+    assert len(found & set(words)) <= 0.02 * len(words)
+
+
 def test_no_candidates_and_no_rows(frame):
     assert S.secret_spans(frame([], DOCS)).count() == 0
     assert S.redact_secrets(frame([(1, None, None, None), (1, "x", None, None)], DOCS)).where("text is null or text = 'x'").count() == 2
