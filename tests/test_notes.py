@@ -111,6 +111,34 @@ def test_grouping_matches_brute_force(spark, monkeypatch, entries):
     assert {frozenset(g) for g in by_card.values()} == want and max(map(len, want)) > 2
 
 
+def test_vectors_keep_shared_terms_only(spark, monkeypatch):
+    """Texts of one context, some with copies and most words of their own, against text_terms; pieces, ranges and blocks of a few texts."""
+    monkeypatch.setattr(gr, "RANGE_CHARS", 200)
+    monkeypatch.setattr(gr, "PIECE_WORDS", 40)
+    monkeypatch.setattr(gr, "PIECE_BITS", 3)
+    monkeypatch.setattr(gr, "BLOCK_BITS", 2)
+    rng = random.Random(4)
+    texts = [" ".join([f"W{n}X{k}" for k in range(12)] + rng.choices("A B C D É".split(), k=4)) for n in range(30)]
+    texts += [t + rng.choice([" SEM", " Z", " A A"]) for t in texts[:15]] + ["", "!!", "A A A A", "A A A"]
+    rows = [("f", i, "U", "L", "M", "T", "", "", t) for i, t in enumerate(texts)]
+    found = gr.distinct_texts(gr.with_context(spark.createDataFrame(rows, CONTEXT)))
+    whole, vectors = {}, {}
+    for r in gr.text_terms(found).collect():
+        whole.setdefault(r["vid"], {})[r["term"]] = (r["w"], r["df"])
+    for r in gr.text_vectors(found).collect():
+        vectors[r["vid"]] = dict(zip(r["terms"], [x / r["norm"] for x in r["raw"]], strict=True))
+        own = whole[r["vid"]].values()
+        assert sorted(vectors[r["vid"]].values()) == pytest.approx(sorted(w for w, df in own if df > 1))
+        assert r["lone"] == pytest.approx(sum(w * w for w, df in own if df == 1), abs=1e-12)
+    assert set(vectors) == {v for v, own in whole.items() if any(df > 1 for _, df in own.values())}
+    sign = {r["vid"]: "SEM" in r["text"].split() for r in found.collect()}
+    cosine = lambda a, b: sum(w * whole[b].get(t, (0, 0))[0] for t, (w, _) in whole[a].items())
+    want = {(a, b): cosine(a, b) for a in whole for b in whole if a < b and sign[a] == sign[b] and cosine(a, b) >= 0.8 - 1e-12}
+    got = {(r["lo"], r["hi"]): r["similarity"] for r in gr.similar_pairs(gr.text_vectors(found)).collect()}
+    assert got == pytest.approx(want) and len(want) > 5
+    assert gr.similar_pairs(gr.text_vectors(found.limit(0))).count() == 0
+
+
 def part(vectors):
     rows = [(f"t{k}" for k in v) for v in vectors]
     return pa.table({"vid": list(range(len(vectors))), "terms": [list(r) for r in rows], "weights": [list(v.values()) for v in vectors],
