@@ -38,7 +38,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: shingles of five words, a Jaccard similarity of 0.8 or more."""
+    """One document of each group of near copies: pairs by SimHash fingerprints of five-word shingles, then those that
+    SimHash misses by shared shingles, all confirmed by a Jaccard similarity of 0.8 or more."""
     return _documents(drop_similar_sets(docs))
 
 

@@ -3,10 +3,11 @@
 Two sets of at least the wanted similarity share an element among the first few of each, in any order common to all sets
 (prefix filter: a fifth of a set at 0.8, a ninth of the smaller one). So the heads of the sets are joined on their
 elements, pairs that sizes or places rule out are dropped, and of the others the sets are compared. No close pair
-escapes and no other passes, short texts included. The order puts shingles frequent in a sample of the texts last; it
+escapes, what SimHash misses included, and no other passes, short texts included. The order puts shingles frequent in a sample of the texts last; it
 settles how many pairs are compared, not which are found.
 
-Equal sets are collapsed. Of each posting list the first node is compared with the others; after that only pairs of
+Equal sets are collapsed, and SimHash comes first: sets whose fingerprints (of their distinct shingles) differ in at most
+``DISTANCE`` bits are compared, and linked if they are close enough. Of each posting list the first node is compared with the others; after that only pairs of
 different components are, dealt out by pairs of chunks. So near copies that link at once are not paired out.
 
 A shingle and a set are known by 64-bit hashes. Null and empty texts have no shingles and are copies of each other; texts
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from stoplens.llm.common import in_tasks, written
 from stoplens.llm.components import connected_components
-from stoplens.llm.simhash_blocks import SEED, first_of_components, row_key, shingle_hashes
+from stoplens.llm.simhash_blocks import DISTANCE, SEED, fingerprint_links, first_of_components, majority, row_key, shingle_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 SAMPLE, OFTEN, RANKED = 16, 3, 200_000  # one text of 16; shingles in 3 or more of them go last, 200,000 at most
@@ -53,13 +54,15 @@ def _lists(sets: list[np.ndarray]) -> pa.ListArray:
 
 def head_batches(batches, shingle: int, seed: int, share: Fraction, often: np.ndarray, ranks: np.ndarray):
     for batch in batches:
-        nodes, sizes, heads = [], [], []
+        nodes, fps, sizes, heads = [], [], [], []
         for value in batch.column(1):
             hashes = np.unique(shingle_hashes(value.as_py() or "", shingle, seed))
             nodes.append(xxhash.xxh64_intdigest(hashes.tobytes()))
+            fps.append(majority(hashes))
             sizes.append(len(hashes))
             heads.append(in_order(hashes, often, ranks)[:head_size(len(hashes), share)])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(nodes, "<u8").view("<i8")), pa.array(sizes, pa.int32()), _lists(heads)], ["row", "node", "size", "head"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(nodes, "<u8").view("<i8")), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), _lists(heads)],
+                                         ["row", "node", "fp", "size", "head"])
 
 
 def set_batches(batches, shingle: int, seed: int):
@@ -111,18 +114,31 @@ def similar_links(texts: DataFrame, heads: DataFrame, pairs: DataFrame, wanted:
     return written(pairs.join(of("u"), "u").join(of("v"), "v").where(shared * (a + b) >= (F.size("u_set") + F.size("v_set")).cast("long") * a).select("u", "v"), "similar-links")
 
 
+def simhash_pairs(heads: DataFrame) -> DataFrame:
+    """(u, v) of nodes whose fingerprints are equal or differ in ``DISTANCE`` bits at most: each node with the least of its
+    fingerprint, and the least ones of two fingerprints that ``fingerprint_links`` links."""
+    least = written(heads.groupBy("fp").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")), "node-fingerprints")
+    of = lambda end: least.select(F.col("fp").alias(end), F.col("least").alias(f"{end}_node"))
+    across = fingerprint_links(least.select("fp")).join(of("u"), "u").join(of("v"), "v").select(
+        F.greatest("u_node", "v_node").alias("u"), F.least("u_node", "v_node").alias("v"))
+    inside = heads.select("fp", F.col("node").alias("u")).join(least.where("n > 1").select("fp", F.col("least").alias("v")).hint("rebalance"), "fp").where("u <> v")
+    return written(across.unionByName(inside.select("u", "v")).distinct(), "simhash-pairs")
+
+
 def set_components(docs: DataFrame, id: str, text: str, shingle: int, seed: int, similarity: float) -> DataFrame:
     """(row, first) of each row of ``docs``: its ``row_key`` and the least one that links reach."""
     wanted = Fraction(str(similarity))
     texts = docs.select(row_key(id, text).alias("row"), F.col(text).alias("text"))
     kind = texts.schema["row"].dataType.simpleString()
     rows = written(texts.mapInArrow(in_tasks(__name__, "head_batches", shingle, seed, wanted, *frequent(texts, shingle, seed)),
-                                    f"row {kind}, node long, size int, head array<long>"), "shingle-heads")
-    heads = written(rows.groupBy("node").agg(F.min("row").alias("row"), F.first("size").alias("size"), F.first("head").alias("head")), "distinct-shingle-heads")
+                                    f"row {kind}, node long, fp long, size int, head array<long>"), "shingle-heads")
+    heads = written(rows.groupBy("node").agg(F.min("row").alias("row"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("head").alias("head")), "distinct-shingle-heads")
     dealt = heads.select("node", "size", F.posexplode("head").alias("at", "key")).select("key", F.struct("node", "size", "at").alias("u"))
     lists = dealt.groupBy("key").agg(F.min("u").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n").hint("rebalance")
     shared = written(dealt.join(lists, "key"), "shingle-postings")
-    stars = written(likely_pairs(shared.where("u.node <> v.node"), wanted, 2), "star-pairs")  # n counts a part of the lists here; what is missed comes below
+    close = simhash_pairs(heads)
+    stars = likely_pairs(shared.where("u.node <> v.node"), wanted, 2)
+    stars = written(close.unionByName(stars).distinct(), "star-pairs")  # n counts a part of the lists here; what is missed comes below
     links = similar_links(texts, heads, stars, wanted, shingle, seed)
 
     parts = connected_components(links).withColumnRenamed("node", "of").hint("rebalance")

@@ -85,3 +85,19 @@ def test_components_match_brute_force(frame, monkeypatch, sample, chunk):
     assert len(got) == len(rows) and all(r.component_id == (0 if r.id is None else want[r.id]) for r in got)
     assert sorted(r.doc_id for r in S.drop_similar_sets(frame(rows, DOCS)).collect()) == sorted(set(want))
     assert S.similar_sets(frame([], DOCS)).count() == 0
+
+
+def test_simhash_comes_first(frame, monkeypatch):
+    """Fingerprint pairs are asked for and confirmed: strangers that share a fingerprint stay apart."""
+    random.seed(6)
+    texts = copies_at(1, 12)
+    asked = []
+    real = S.simhash_pairs
+    monkeypatch.setattr(S, "simhash_pairs", lambda heads: asked.append(real(heads)) or asked[0])
+    assert kept_by(corpus_pipeline.near_dedup, frame, texts) == list(range(0, 24, 2))
+    assert len(asked) == 1 and asked[0].count() >= 1
+    monkeypatch.setattr(S, "majority", lambda hashes: 7)
+    rows = [(i, i + 1, 7, 5, [i]) for i in range(4)]
+    heads = frame(rows, "row long, node long, fp long, size int, head array<long>")
+    assert sorted(map(tuple, real(heads).collect())) == [(2, 1), (3, 1), (4, 1)]
+    assert real(heads.limit(0)).count() == 0
