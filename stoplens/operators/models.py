@@ -16,7 +16,7 @@ from stoplens.functions import calc, text
 from stoplens.operators import linear
 from stoplens.operators.grouping import dot
 from stoplens.operators.skew import lookup_join, running_total
-from stoplens.session import cut_lineage, shuffle_partitions
+from stoplens.session import cut_lineage, shuffle_partitions, staged
 
 BLOCK = 1 << 16
 POOL_CHUNK = 2000
@@ -153,6 +153,7 @@ def train_board_model(examples: DataFrame) -> TextModel | None:
     From 200 examples on, classes with a single example are left out.
     """
     rows = examples.select(text.context_document("text", "machine").alias("text"), "label", F.col("weight").cast("double").alias("weight"))
+    rows = staged(rows, "board-examples")  # counted, indexed and turned into features below
     size = rows.count()
     if size >= fv.MATURE_EXAMPLES:
         common = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").select("label")

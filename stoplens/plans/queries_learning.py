@@ -158,7 +158,7 @@ def l08_board_model_predictions(spark, folder):
                              (F.col("id") % 5 == 0).alias("manual"), F.col("id").alias("seq"))
     none = spark.createDataFrame([], "text string, label string, note_key string, seq bigint")
     model = ml.train_board_model(tr.board_examples(validated, none, none))
-    texts = stops.select(text.context_document(O, "equipamento").alias("text")).distinct()
+    texts = staged(stops.select(text.context_document(O, "equipamento").alias("text")).distinct(), "board-notes")
     return model.predict(texts).select("text", "classe", F.round("confianca", 4).alias("confianca"), "faixa")
 
 
