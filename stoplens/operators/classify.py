@@ -110,7 +110,7 @@ def classify(stops: DataFrame, catalog: Catalog | None = None, memory: DataFrame
 
     Notes are keyed by their catalog text, so order numbers do not multiply them. Distinct pairs come from a partial aggregation, and their answers return through a join that spreads hot notes.
     """
-    keyed = stops.withColumns({"_note": text.catalog_text("observacao_raw"), "_machine": text.catalog_text("equipamento")})
+    keyed = staged(stops.withColumns({"_note": text.catalog_text("observacao_raw"), "_machine": text.catalog_text("equipamento")}), "classified-stops")
     pairs = keyed.select(F.col("_note").alias("observacao_raw"), F.col("_machine").alias("equipamento")).distinct()
     answers = explain(pairs, catalog).withColumn("memory_key", text.memory_key("observacao_raw"))
     if memory is not None:
@@ -230,7 +230,8 @@ def fold_memory(corrections: DataFrame) -> DataFrame:
     The last correction decides; its count is how many corrections in a row gave that label. Computed with
     aggregations only: the last differing correction bounds the final run.
     """
-    last = corrections.filter("note_key <> ''").groupBy("note_key").agg(F.max_by(F.struct("label", "seq"), "seq").alias("_last"))
+    corrections = staged(corrections.select("note_key", "seq", "label").filter("note_key <> ''"), "corrections")  # read three times below
+    last = corrections.groupBy("note_key").agg(F.max_by(F.struct("label", "seq"), "seq").alias("_last"))
     last = last.select("note_key", F.col("_last.label").alias("label"), F.col("_last.seq").alias("last_seq"))
     joined = lookup_join(corrections.select("note_key", "seq", F.col("label").alias("_said")), last, ["note_key"], "inner")
     broken = joined.filter(~F.col("_said").eqNullSafe(F.col("label"))).groupBy("note_key").agg(F.max("seq").alias("_broken"))
