@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from stoplens.functions import calc, text
 from stoplens.operators.skew import lookup_join
+from stoplens.session import staged
 
 
 def with_events(stops: DataFrame, note: str = "observacao_normalizada") -> DataFrame:
@@ -21,11 +22,11 @@ def with_events(stops: DataFrame, note: str = "observacao_normalizada") -> DataF
     start, end = calc.interval_bounds("intervalo")
     group = ["analysis_id", "_unit", "_line", "_machine", "data_inicio", "_note"]
     order = text.order_number("observacao_raw")
-    keyed = stops.withColumns({
+    keyed = staged(stops.withColumns({
         "order_number": order, "_start": start, "_end": end,
         "_unit": text.key_text("centro"), "_line": text.key_text("linha"), "_machine": text.key_text("equipamento"),
         "_note": F.coalesce(F.col(note), F.lit("")),
-    })
+    }), "event-stops")  # read three times below
     loose = keyed.filter((F.col("order_number") == "") & F.col("_start").isNotNull() & (F.col("_note") != "")
                          & ~F.col("_note").startswith("__"))
     follows_itself = F.col("_start") == F.col("_end") % 1440
