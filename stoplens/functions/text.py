@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stoplens import fixed_values as fv
 
 ORDER_NUMBER_WORD = r"\b\d{5,}\b"
+LONG_NUMBER = r"(?:^|[\x00-/:-@\[-`{-\x7F])[0-9]{5,}+(?![^\x00-/:-@\[-`{-\x7F])"
 
 
 def _fold_tables() -> tuple[str, str, dict[str, str]]:
@@ -123,6 +124,12 @@ def model_text(value: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(plain_text(value), ORDER_NUMBER_WORD, " "), " +", " "))
 
 
+def without_long_numbers(value: Column | str) -> Column:
+    """The text without 5+ digit numbers that stand between plain marks or the ends: their words are no part of any
+    model text, so both texts have the same one."""
+    return F.regexp_replace(F.coalesce(_col(value), F.lit("")), LONG_NUMBER, " ")
+
+
 def has_content(model: Column | str) -> Column:
     """Words that are neither numbers nor junk add up to 4+ characters."""
     words = F.filter(F.split(_col(model), " "), lambda w: (w != "") & ~w.rlike("^[0-9]+$") & ~w.isin(fv.JUNK_WORDS))

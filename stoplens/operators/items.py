@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from stoplens import fixed_values as fv
 from stoplens.functions import calc, text
 from stoplens.operators.skew import lookup_join, places_within
+from stoplens.session import staged
 
 PENDING, CORRECT, WRONG = "pendente", "correta", "corrigida"
 
@@ -16,6 +17,13 @@ def with_item_key(stops: DataFrame) -> DataFrame:
         .withColumn("ml_key", F.when(text.has_content("ml_key"), F.col("ml_key")).otherwise(F.lit("")))
 
 
+def with_item_key_of_notes(stops: DataFrame) -> DataFrame:
+    """``with_item_key`` of staged stops: the key of each distinct note, long numbers aside, is worked out once."""
+    stops = staged(stops.withColumn("_note", text.without_long_numbers("observacao_raw")), "item-notes")
+    notes = with_item_key(stops.select(F.col("_note").alias("observacao_raw")).distinct()).withColumnRenamed("observacao_raw", "_note")
+    return lookup_join(stops, staged(notes, "item-keys"), ["_note"]).drop("_note")
+
+
 def items(stops: DataFrame, predictions: DataFrame) -> DataFrame:
     """One row per (analysis, unique note) with its lines, minutes, first text and prediction.
 

@@ -59,7 +59,7 @@ def train(labelled: DataFrame, analyst: DataFrame, catalog: Catalog | None = Non
           other_seeds: tuple[int, ...] = OTHER_SEEDS) -> SheetModel:
     """labelled(note, label, seq); analyst(relato, relato_norm, classe, detalhe). ``previous`` comes back as it is when
     its training set was the same, unless forced. Raises below 50 examples with a class or two classes."""
-    labelled = staged(labelled.select(*LABELLED, "seq"), "sheet-labelled")
+    labelled, analyst = staged(labelled.select(*LABELLED, "seq"), "sheet-labelled"), staged(analyst.select("relato", *SAID), "sheet-analyst")
     fingerprint = training_fingerprint(labelled, analyst)
     if previous is not None and previous.fingerprint == fingerprint and not force:
         return previous

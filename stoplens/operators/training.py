@@ -8,18 +8,19 @@ from stoplens.functions import text, tokens
 from stoplens.operators.catalog import Catalog
 from stoplens.operators.classify import explain
 from stoplens.operators.skew import lookup_join
-from stoplens.session import cut_lineage
+from stoplens.session import cut_lineage, staged
 
 
 def merge_labels(keys: DataFrame) -> DataFrame:
-    """L2: (label_key, merged) where labels almost equal share the most frequent one.
+    """L2: (label_key, merged) where labels almost equal share the most frequent one. A key may stand for ``n`` rows.
 
     Labels are taken by (frequency desc, key). One whose canonical words equal an earlier label's joins that label's
     group; otherwise it joins the earliest group representative with ratio >= 0.88, else it represents a new group.
     Candidate pairs come from an exact prefix filter over characters (a ratio of 0.88 needs that share of common
     characters); the sequential choice is the fixed point of a set-based update.
     """
-    counted = keys.groupBy("label_key").agg(F.count(F.lit(1)).alias("n")).withColumn("canon", text.label_canon("label_key"))
+    size = F.sum("n") if "n" in keys.columns else F.count(F.lit(1))
+    counted = keys.groupBy("label_key").agg(size.alias("n")).withColumn("canon", text.label_canon("label_key"))
     nodes = counted.groupBy("canon").agg(F.min_by(F.struct("label_key", "n"), F.struct(-F.col("n"), F.col("label_key"))).alias("f"))
     nodes = cut_lineage(nodes.select("canon", F.col("f.label_key").alias("first"), F.col("f.n").alias("n")))
 
@@ -64,14 +65,17 @@ def clean_labelled(labelled: DataFrame) -> DataFrame:
 def prepare(labelled: DataFrame, analyst: DataFrame | None = None, catalog: Catalog | None = None) -> dict[str, DataFrame]:
     """One example per note and the counts of every cleaning step.
 
-    ``analyst`` (relato, relato_norm, classe, detalhe) replaces what the labelled files say about the same note.
+    ``analyst`` (relato, relato_norm, classe, detalhe) replaces what the labelled files say about the same note. Rows of
+    one label whose notes differ in long numbers only are counted first, so each such note is cleaned once.
     """
-    cleaned = cut_lineage(clean_labelled(labelled))
-    kept = cleaned.filter("dropped IS NULL").select("note", "label", "seq", "norm", "label_key")
+    alike = labelled.groupBy(text.without_long_numbers("note").alias("_note"), "label").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("seq", "note")).alias("first"))
+    cleaned = staged(clean_labelled(alike.withColumnRenamed("_note", "note")), "cleaned-notes")
+    kept = cleaned.filter("dropped IS NULL").select("label", "n", "first", "norm", "label_key")
     kept = cut_lineage(lookup_join(kept, cut_lineage(merge_labels(kept)), ["label_key"], "inner").withColumnRenamed("merged", "group"))
-    spelled = kept.groupBy("group", "label").agg(F.count(F.lit(1)).alias("n"))
+    spelled = kept.groupBy("group", "label").agg(F.sum("n").alias("n"))
     display = spelled.groupBy("group").agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("detail"))
-    pairs = kept.groupBy("norm", "group").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("seq", "note")).alias("first"))
+    pairs = kept.groupBy("norm", "group").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
     overall = pairs.groupBy("group").agg(F.sum("n").alias("overall"))
     per_note = lookup_join(pairs, overall, ["group"], "inner").groupBy("norm").agg(
         F.max_by("group", F.struct("n", "overall", "group")).alias("group"), F.sum("n").alias("weight"),
@@ -100,8 +104,8 @@ def prepare(labelled: DataFrame, analyst: DataFrame | None = None, catalog: Cata
                            F.lit("analista").alias("source"), F.lit("analista").alias("how"))
     examples = folder.unionByName(reviewed)
     one = lambda df: F.broadcast(df)
-    counts = cleaned.agg(F.count_if(F.col("dropped") == "sem_conteudo").alias("sem_conteudo"),
-                         F.count_if(F.col("dropped") == "rotulo_sem_informacao").alias("rotulo_sem_informacao"))
+    lost = lambda why: F.coalesce(F.sum(F.when(F.col("dropped") == why, F.col("n"))), F.lit(0)).alias(why)
+    counts = cleaned.agg(lost("sem_conteudo"), lost("rotulo_sem_informacao"))
     counts = counts.join(one(kept.agg(F.countDistinct("label_key").alias("rotulos_antes"), F.countDistinct("group").alias("rotulos_depois"))))
     counts = counts.join(one(pairs.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicadas"))))
     counts = counts.join(one(marked.agg(F.count_if(F.col("options") > 1).alias("conflitos"), F.count_if("replaced").alias("substituidos_pelo_analista"))))

@@ -190,7 +190,8 @@ SAID = f"""said AS (SELECT DISTINCT norm AS relato_norm, 'falha de  mancal' AS c
 
 def said(spark, folder):
     """What an analyst answered about some of the notes."""
-    norm = noted(fx.stops(spark, folder)).select(text.model_text(O).alias("relato_norm")).distinct().filter("length(relato_norm) % 5 = 0 AND relato_norm <> ''")
+    notes = staged(noted(fx.stops(spark, folder)).select(text.without_long_numbers(O).alias("note")).distinct(), "said-notes")  # else the filter asks for the text of every row
+    norm = notes.select(text.model_text("note").alias("relato_norm")).distinct().filter("length(relato_norm) % 5 = 0 AND relato_norm <> ''")
     return norm.select(F.col("relato_norm").alias("relato"), "relato_norm", F.lit("falha de  mancal").alias("classe"),
                        F.when(F.length("relato_norm") % 2 == 0, "folga").otherwise("").alias("detalhe"))
 
@@ -212,9 +213,10 @@ def l15_sheet_flow(spark, folder):
     """Training, items with predictions, review and failure summary of the single flow, one after the other: notes keep
     the analyst's answers, the others take the model's class with its detail and percent (model output: tests)."""
     trained = sm.train(labelled(spark, folder), said(spark, folder), other_seeds=())
-    stops = staged(it.with_item_key(noted(reviewed_events(spark, folder).drop("failure_class", "failure_mode", "group_id"))), "flow-stops")
-    keys = stops.select(F.col("ml_key").alias("text"))
+    events = noted(reviewed_events(spark, folder, "minutos_parada")).select("analysis_id", "id", "event_id", "minutos_parada", O)
+    stops = it.with_item_key_of_notes(events)
+    keys = stops.select(F.col("ml_key").alias("text")).distinct()
     predictions = staged(sm.predict(trained, keys).withColumnRenamed("text", "ml_key").drop("top3"), "flow-predictions")
-    rows = it.items(stops, predictions)
-    reviewed = it.reviewed_items(rows, decisions(rows))[0]
+    rows = staged(it.items(stops, predictions), "flow-items")
+    reviewed = staged(it.reviewed_items(rows, decisions(rows))[0], "flow-reviewed")
     return it.failure_summary(it.with_item_class(stops, reviewed))

@@ -53,10 +53,14 @@ MACHINE_COLUMNS = ("unit, line, name, count, lines, minutes, mttr, q_cut, mttr_c
 LINES = "ev AS (SELECT *, CAST(id AS VARCHAR) AS event_id FROM reviewed)"
 
 
-def reviewed_events(spark, folder):
-    """Reviewed stops with their failure events, the base of every indicator."""
+EVENT_COLUMNS = ["analysis_id", "id", "centro", "linha", "equipamento", "data_inicio", "intervalo", "observacao_raw", "observacao_normalizada"]
+
+
+def reviewed_events(spark, folder, *columns):
+    """Reviewed stops with their failure events, the base of every indicator; where ``columns`` are named, only these
+    besides those that tell the events."""
     base = fx.reviewed(spark, folder).withColumn("observacao_normalizada", F.upper(F.trim("observacao_raw")))
-    return with_events(base)
+    return with_events(base.select(*EVENT_COLUMNS, *columns) if columns else base)
 
 
 def machine_columns(df):
