@@ -186,6 +186,40 @@ def test_vector_links_match_brute_force(frame, monkeypatch):
     assert V.vector_links(frame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_vectors_are_dealt_out_by_chunks_only(frame, monkeypatch):
+    """Near copies in one direction (whole tiles of links) among others, in chunks of two sizes: right, and no vector staged or dealt out by blocks or cells."""
+    rng = np.random.default_rng(6)
+    centre = rng.standard_normal(24)
+    close, far = centre + rng.standard_normal((260, 24)) * 0.12, rng.standard_normal((200, 24))
+    rows = [[i, x.astype(np.float32).tolist(), 0] for i, x in enumerate(np.concatenate([close, far])[rng.permutation(460)])]
+    zero = [0.0, -0.0]
+    rows += [[460, [zero[0], *rows[3][1][1:]], 0], [461, [zero[1], *rows[3][1][1:]], 0], [462, rows[7][1], 1], [463, rows[7][1], 0]]
+    x = np.array([r[1] for r in rows if r[2] == 0], float)
+    ids = [r[0] for r in rows if r[2] == 0]
+    unit = x / np.sqrt((x * x).sum(1, keepdims=True))
+    links = [(ids[a], ids[b]) for a, b in np.argwhere(np.triu(unit @ unit.T >= 0.93, 1))]
+    want, count = parts([r[0] for r in rows], links), np.bincount([x for ab in links for x in ab], minlength=len(rows))
+    assert len(links) > 20_000
+    table, dealt, written = frame(rows, "vec_id long, embedding array<float>, label int"), [], V.written
+
+    def counted(df, name):
+        held = written(df, name)
+        dealt.append((name, held.count(), bool({"v", "vector"} & set(held.columns))))
+        return held
+
+    monkeypatch.setattr(V, "written", counted)
+    monkeypatch.setattr(V, "PAIRS", 500)
+    for chunk, values in ((100, 1 << 22), (4096, 24 * 120)):
+        monkeypatch.setattr(V, "CHUNK", chunk)
+        monkeypatch.setattr(V, "CHUNK_VALUES", values)
+        got = V.vector_links(table.selectExpr("vec_id", "cast(embedding as array<double>) embedding", "label") if values < 1 << 22 else table).collect()
+        assert {r.id: (r.n_links, r.component_id, r.kept) for r in got} == {i: (count[i], want[i], want[i] == i) for i in want} and len(got) == len(rows)
+    assert sum(n for _, n, whole in dealt if whole) <= 2 * len(rows)  # once a call
+    alike = table.selectExpr("label", "vec_id node", "1 n", "size(embedding) dims", "embedding v").where("label = 0")
+    monkeypatch.setattr(V, "CHUNK_VALUES", 1 << 22)
+    assert V.chunk_pairs(alike).count() <= V.PARTS * len(rows)
+
+
 def test_url_rules_and_aliases(frame):
     link = lambda u: f'<LINK href="{u}" rel="canonical">'
     pages = [(1, "http://a.example.com/en/x", link("/fr/y"), "x"), (2, "http://a.example.com/fr/y?q#f", None, "x"), (3, "https://b.org/1", link("//a.example.com/en/x"), "x"),
