@@ -229,7 +229,7 @@ PAIRS_SQL = ("""pr AS (SELECT a.b, a.text AS lo, c.text AS hi, sum(a.w * c.w) AS
 @query("j04_similar_pairs", JOINED + ", " + PAIRS_SQL + " SELECT lo, hi, round(s, 6) AS similarity, count(*) AS times FROM pr GROUP BY ALL")
 def j04_similar_pairs(spark, folder):
     texts = placed_texts(spark, folder)
-    pairs = gr.similar_pairs(gr.text_vectors(texts))
+    pairs = gr.similar_pairs(gr.text_vectors(texts, only_linkable=True))
     name = lambda end: texts.select(F.col("vid").alias(f"{end}_vid"), F.col("text").alias(end))
     named = pairs.withColumnsRenamed({"lo": "lo_vid", "hi": "hi_vid"}).join(name("lo"), "lo_vid").join(name("hi"), "hi_vid")
     return named.groupBy("lo", "hi", F.round("similarity", 6).alias("similarity")).agg(F.count(F.lit(1)).alias("times"))
@@ -300,7 +300,7 @@ DOCS = """src AS (SELECT lang || '/' || source AS b, upper(trim(regexp_replace(t
 
 def documents(spark, folder):
     """Documents as notes: the context is language and source, the whole text is compared."""
-    plain = F.upper(F.trim(F.regexp_replace("text", "[^A-Za-z0-9]+", " ")))
+    plain = F.upper(F.array_join(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), 0), " "))  # what is between takes Java's regex ten times as long to find
     return fx.table(spark, folder, "documents").select(
         F.lit("docs").alias("analysis_id"), F.col("doc_id").alias("id"), F.col("lang").alias("centro"), F.col("source").alias("linha"),
         F.lit("text").alias("equipamento"), F.lit("").alias("tipo_parada"), F.lit("").alias("subchave_parada"), F.lit("").alias("sistema"),
@@ -311,7 +311,7 @@ def documents(spark, folder):
  FROM pr WHERE lo <> '' AND hi <> '' GROUP BY ALL""")
 def j04_similar_documents(spark, folder):
     texts = gr.distinct_texts(gr.with_context(documents(spark, folder)))
-    pairs = gr.similar_pairs(gr.text_vectors(texts))
+    pairs = gr.similar_pairs(gr.text_vectors(texts, only_linkable=True))
     name = lambda end: texts.select(F.col("vid").alias(f"{end}_vid"), F.md5("text").alias(end))
     named = pairs.withColumnsRenamed({"lo": "lo_vid", "hi": "hi_vid"}).join(name("lo"), "lo_vid").join(name("hi"), "hi_vid")
     return named.groupBy("lo", "hi", F.round("similarity", 6).alias("similarity")).agg(F.count(F.lit(1)).alias("times"))

@@ -43,14 +43,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+#: Spark 4.1 and later can drop a query's shuffle files when it has ended; else they stay until the driver collects its garbage.
+SHUFFLES_END = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def staged(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read back: later uses prune its columns, compute nothing
-    again and survive lost executors."""
+    again and survive lost executors. The shuffle files that the write needed go with its end."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid4().hex}"
     untyped = {c for c, kind in df.dtypes if kind == "void"}  # Parquet has no such columns
     if untyped:
-        return staged(df.drop(*untyped), name).select(*[F.lit(None).alias(c) if c in untyped else F.col(c) for c in df.columns])
-    df.write.parquet(path)
+        return staged(df.drop(*untyped), name, compression).select(*[F.lit(None).alias(c) if c in untyped else F.col(c) for c in df.columns])
+    conf = df.sparkSession.conf
+    before = conf.get(SHUFFLES_END, "false")
+    conf.set(SHUFFLES_END, "true")
+    try:
+        df.write.parquet(path, compression=compression)
+    finally:
+        conf.set(SHUFFLES_END, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 
 import pyarrow as pa
 import pytest
@@ -13,6 +14,7 @@ from stoplens.operators import classify as cl
 from stoplens.operators import grouping as gr
 from stoplens.operators import training as tr
 from stoplens.operators.catalog import Catalog
+from stoplens.session import SHUFFLES_END, staged
 
 CONTEXT = "analysis_id string, id bigint, centro string, linha string, equipamento string, tipo_parada string, subchave_parada string, sistema string, observacao_normalizada string"
 
@@ -139,6 +141,53 @@ def test_vectors_keep_shared_terms_only(spark, monkeypatch):
     assert gr.similar_pairs(gr.text_vectors(found.limit(0))).count() == 0
 
 
+def test_words_that_only_one_text_repeats_weigh_in(spark, monkeypatch):
+    """Vectors, all of them and those of linkable texts, against text_terms, where texts repeat words of their own."""
+    monkeypatch.setattr(gr, "PIECE_BITS", 2)
+    monkeypatch.setattr(gr, "RANGE_CHARS", 100)
+    rng = random.Random(8)
+    texts = [" ".join([f"W{n}"] * rng.randint(2, 5) + [f"V{n}X{k}" for k in range(4)] + rng.choices("A B C D".split(), k=3)) for n in range(24)]
+    texts += [t + " E" for t in texts[:8]]
+    found = gr.distinct_texts(gr.with_context(spark.createDataFrame([("f", i, "U", "L", "M", "T", "", "", t) for i, t in enumerate(texts)], CONTEXT)))
+    whole = {}
+    for r in gr.text_terms(found).collect():
+        whole.setdefault(r["vid"], {})[r["term"]] = (r["w"], r["df"])
+    every, few = ({r["vid"]: r for r in gr.text_vectors(found, only_linkable=o).collect()} for o in (False, True))
+    cosine = lambda a, b: sum(w * whole[b].get(t, (0, 0))[0] for t, (w, _) in whole[a].items())
+    want = {(a, b): cosine(a, b) for a in whole for b in whole if a < b and cosine(a, b) >= 0.8 - 1e-12}
+    assert set(every) == set(whole) and len(want) >= 8 and {v for pair in want for v in pair} <= set(few) and len(few) < len(every) - 8
+    for vectors in (every, few):
+        for vid, r in vectors.items():
+            assert sorted(x / r["norm"] for x in r["raw"]) == pytest.approx(sorted(w for w, df in whole[vid].values() if df > 1))
+            assert r["lone"] == pytest.approx(sum(w * w for w, df in whole[vid].values() if df == 1), abs=1e-12)
+    got = {(r["lo"], r["hi"]): r["similarity"] for r in gr.similar_pairs(gr.text_vectors(found, only_linkable=True)).collect()}
+    assert got == pytest.approx(want)
+
+
+def test_a_piece_asks_once_for_each_term():
+    """Fifty copies of forty words: each term is sent once, with its number of texts."""
+    words = pa.array([list(range(40))] * 50, pa.list_(pa.int64()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50), pa.int64()), words], ["vid", "words"])
+    dealt = pa.Table.from_batches(gr.dealt_terms(3, 6)([batch]))
+    assert sum(map(len, dealt.column("term").to_pylist())) == 79 and {n for row in dealt.column("texts").to_pylist() for n in row} == {50}
+
+
+def test_staging_leaves_no_shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = disk.getAllFiles()
+        return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+    before, setting = shuffled(), spark.conf.get(SHUFFLES_END, "false")
+    found = staged(spark.range(20_000).groupBy((F.col("id") % 5_000).alias("k")).agg(F.sum("id").alias("s")), "sums")
+    for _ in range(50):
+        if not shuffled() - before:
+            break
+        time.sleep(0.2)
+    assert not shuffled() - before and found.count() == 5_000 and spark.conf.get(SHUFFLES_END, "false") == setting
+
+
 def part(vectors):
     rows = [(f"t{k}" for k in v) for v in vectors]
     return pa.table({"vid": list(range(len(vectors))), "terms": [list(r) for r in rows], "weights": [list(v.values()) for v in vectors],
