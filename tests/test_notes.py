@@ -188,6 +188,23 @@ def test_staging_leaves_no_shuffle_files(spark):
     assert not shuffled() - before and found.count() == 5_000 and spark.conf.get(SHUFFLES_END, "false") == setting
 
 
+def test_grouping_stages_texts_twice_only(spark, monkeypatch):
+    """Texts are staged as keyed notes and as distinct texts; vectors once, and of linkable texts only."""
+    monkeypatch.setattr(gr, "PART_ENTRIES", 10)
+    kept, real = {}, gr.staged
+    monkeypatch.setattr(gr, "staged", lambda df, name, *more: kept.setdefault(name, []).append(held := real(df, name, *more)) or held)
+    rng = random.Random(2)
+    texts = [" ".join(rng.sample([f"W{k}" for k in range(200)], 12)) for _ in range(60)]
+    texts += [f"{t} Z{i}" for i, t in enumerate(texts[:10])]
+    out = gr.group_notes(spark.createDataFrame([("f", i, "U", "L", "M", "T", "", "", t) for i, t in enumerate(texts)], CONTEXT))
+    names = {r["name"]: r["texts"] for r in out["cards"].collect()}
+    assert len(names) == 60 and sum(n == 2 for n in names.values()) == 10 and {n.upper() for n in names} == set(texts[:60])
+    vectors = [name for name, frames in kept.items() if any("raw" in f.columns for f in frames)]
+    assert sorted(name for name, frames in kept.items() if any("text" in f.columns for f in frames)) == ["distinct-texts", "keyed-notes"]
+    assert vectors == ["text-vectors"] and kept["text-vectors"][0].count() < 40
+    assert {r["record_id"] for r in out["card_members"].collect()} == set(range(70))
+
+
 def part(vectors):
     rows = [(f"t{k}" for k in v) for v in vectors]
     return pa.table({"vid": list(range(len(vectors))), "terms": [list(r) for r in rows], "weights": [list(v.values()) for v in vectors],
