@@ -164,6 +164,25 @@ def test_words_that_only_one_text_repeats_weigh_in(spark, monkeypatch):
     assert got == pytest.approx(want)
 
 
+def test_prefixes_leave_few_pairs_to_compare(spark, monkeypatch):
+    """Texts that share one rare word each with some others, and near copies: vectors are sent for the near copies only."""
+    kept, real = {}, gr.staged
+    monkeypatch.setattr(gr, "staged", lambda df, name, *more: kept.setdefault(name, real(df, name, *more)))
+    rng = random.Random(9)
+    common = [f"C{k}" for k in range(30)]
+    texts = [" ".join([f"W{n}X{k}" for k in range(3)] + [f"R{n // 2}"] + rng.sample(common, 24)) for n in range(40)]
+    texts += [t.replace("C1 ", "C2 ", 1) + " Z" for t in texts[:6]]
+    found = gr.distinct_texts(gr.with_context(spark.createDataFrame([("f", i, "U", "L", "M", "T", "", "", t) for i, t in enumerate(texts)], CONTEXT)))
+    whole = {}
+    for r in gr.text_terms(found).collect():
+        whole.setdefault(r["vid"], {})[r["term"]] = r["w"]
+    cosine = lambda a, b: sum(w * whole[b].get(t, 0) for t, w in whole[a].items())
+    want = {(a, b): cosine(a, b) for a in whole for b in whole if a < b and cosine(a, b) >= 0.5 - 1e-12}
+    got = {(r["lo"], r["hi"]): r["similarity"] for r in gr.similar_pairs(gr.text_vectors(found, 0.5, only_linkable=True), 0.5).collect()}
+    assert got == pytest.approx(want) and len(want) >= 6
+    assert len(want) <= kept["hopeful-pairs"].count() < kept["likely-pairs"].count()
+
+
 def test_a_piece_asks_once_for_each_term():
     """Fifty copies of forty words: each term is sent once, with its number of texts."""
     words = pa.array([list(range(40))] * 50, pa.list_(pa.int64()))
